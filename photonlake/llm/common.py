@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,6 +39,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Hold a table that is read more than once as blocks on the executors' disks. Lineage stays, so blocks of a lost
+    executor are computed again; unlike ``materialize`` it makes no files, which on local stores cost a process each."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through the Hadoop file system that holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -99,7 +106,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def text_slices(batch: pa.RecordBatch, index: int, limit: int = 2_000_000):
     """Cut a batch into runs of rows of about ``limit`` text bytes, so that scratch arrays stay small; a row stays whole."""
-    sizes = np.asarray(batch.column(index).cast(pa.large_utf8()).buffers()[1] and np.diff(text_buffers(batch.column(index))[1]))
+    sizes = np.diff(text_buffers(batch.column(index))[1])
     start = total = 0
     for row, n in enumerate(sizes):
         if total and total + n > limit:

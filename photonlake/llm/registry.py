@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from photonlake.llm import license_scan, line_dedup, mixing, packing
+from photonlake.llm import language_id, license_scan, line_dedup, media, mixing, packing
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_language_id": language_id.op3_language_id,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op6_media_columns": media.op6_media_columns,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_license_scan": license_scan.op10_license_scan,
     }
