@@ -31,11 +31,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors lose nothing."""
+def materialize(df: DataFrame, name: str = "table", files: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors lose nothing.
+
+    ``files`` bounds the files of a table that is known to be small for its number of partitions."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +47,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def files_for(n_rows: int, rows_a_file: int = 1_000_000, least: int = 6) -> int:
+    """How many files a table of narrow rows is written to."""
+    return max(least, n_rows // rows_a_file)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through the Hadoop file system that holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

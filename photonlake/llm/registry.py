@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photonlake.llm import language_id, license_scan, line_dedup, media, mixing, packing
+from photonlake.llm import language_id, license_scan, line_dedup, media, minhash, mixing, packing
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4_source_mixing,
         "op6_media_columns": media.op6_media_columns,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
     }
 
