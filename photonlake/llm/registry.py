@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from photonlake.llm import language_id, license_scan, line_dedup, media, minhash, mixing, packing
+from photonlake.llm import language_id, license_scan, line_dedup, media, minhash, mixing, packing, quality
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_language_id": language_id.op3_language_id,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op6_media_columns": media.op6_media_columns,
