@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from photonlake.llm.common import BLANK_RUN, materialize, ranked_bucket, square_buckets, with_running_total
+from photonlake.llm.common import BLANK_RUN, keep, ranked_bucket, square_buckets, with_running_total
 
 #: Slots are numbered below 2^40; the step is the odd integer next to 2^40 / phi.
 POINT_BITS = 40
@@ -63,7 +63,7 @@ def schedule(sources: DataFrame, block: int, cells: int = 4096) -> DataFrame:
     # Shares as ranges of points; each range is listed in the cells it meets, so the lookup is an equi-join.
     edges = need.withColumn("_lo", F.floor((upto - F.col("_need")) * scale).cast("long")).withColumn("_hi", F.floor(upto * scale).cast("long"))
     width = (1 << POINT_BITS) // cells
-    edges = materialize(edges, "mix-shares")
+    edges = keep(edges)
     n_slots = edges.agg(F.coalesce(F.sum("_need"), F.lit(0)).alias("n")).first()["n"]
     listed = edges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width)))).filter("_hi > _lo")
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("_point"))
@@ -71,7 +71,7 @@ def schedule(sources: DataFrame, block: int, cells: int = 4096) -> DataFrame:
     slots = slots.join(listed, "_cell").filter("_point >= _lo and _point < _hi").select("slot", "_idx", "_need")
     # Ranks of a source's slots, counted by runs of slot numbers and then inside a run.
     run = max(1, int(max(n_slots, 1) ** 0.5 / 4))
-    slots = materialize(slots.withColumn("_run", F.floor(F.col("slot") / run)).withColumn("_one", F.lit(1)), "mix-slots")
+    slots = keep(slots.withColumn("_run", F.floor(F.col("slot") / run)).withColumn("_one", F.lit(1)))
     ranked = with_running_total(slots, ["_idx"], "_run", ["slot"], "_one").select("_idx", F.col("run_start").cast("long").alias("_rank"), "slot", "_need")
     held = slots.groupBy("_idx").agg(F.count("*").alias("_held"))
     short = edges.join(held, "_idx", "left").withColumn("_held", F.coalesce("_held", F.lit(0))).filter("_held < _need")
@@ -91,13 +91,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.coalesce(F.col(source_col), F.lit("")).alias("_source"),
         F.md5(identity.cast("binary")).alias("_digest"),
     )
-    sizes = materialize(sizes, "mix-sizes")
-    sources = materialize(source_targets(sizes, weights, max_epochs), "mix-sources")
+    sizes = keep(sizes)
+    sources = keep(source_targets(sizes, weights, max_epochs))
     n = square_buckets(sizes.count())
     placed = with_running_total(
         sizes.withColumn("_bucket", ranked_bucket(F.col("_digest"), n)), ["_no_source", "_source"], "_bucket", ["_digest", "_id", "size"], "size", extra=sources
     )
-    placed = materialize(placed.drop("_digest", "_no_source", "_source").withColumn("_start", F.col("run_start").cast("long")).drop("run_start"), "mix-placed")
+    placed = keep(placed.drop("_digest", "_no_source", "_source").withColumn("_start", F.col("run_start").cast("long")).drop("run_start"))
     from_ = F.col("_epoch") * F.col("_total") + F.col("_start")
     parts = (
         placed.filter("size > 0 and _start < _take")
