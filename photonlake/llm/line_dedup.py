@@ -2,7 +2,7 @@
 
 A line's key is the line without blanks at its ends, A-Z lower-cased. Keys of at least ``min_chars``
 code points that at least two documents hold lose all their lines except in the smallest doc_id.
-A run is a Parquet table (h1, h2, owner), range-partitioned and sorted by the 128-bit key hash. Batches
+A run is a Parquet table (h1, h2, owner) whose files are sorted by the 128-bit key hash. Batches
 come in ascending doc_id order, so a key that an earlier run holds belongs to an earlier document.
 
 Nulls and odd input: a null text is one empty line; a null doc_id counts as the largest id, all null
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import BLANKS, materialize, scratch_path
+from photonlake.llm.common import BLANKS, keep, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null doc_id: it comes after every other id.
@@ -45,7 +45,9 @@ def key_hash(line: Column, min_chars: int) -> Column:
 class RunStore:
     """Levelled sorted runs: a level that holds ``fanout`` runs is merged into one run of the next level."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    MIN_FILES, KEYS_A_FILE = 6, 1_000_000
+
+    def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
 
     def runs(self) -> DataFrame | None:
@@ -54,7 +56,8 @@ class RunStore:
 
     def _write(self, keys: DataFrame) -> str:
         path = scratch_path(self.spark, "line-run")
-        keys.select("h1", "h2", "owner").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
+        files = max(self.MIN_FILES, keys.count() // self.KEYS_A_FILE)
+        keys.select("h1", "h2", "owner").repartitionByRange("h1", "h2").coalesce(files).sortWithinPartitions("h1", "h2").write.parquet(path)
         return path
 
     def add(self, pairs: DataFrame) -> DataFrame:
@@ -65,7 +68,7 @@ class RunStore:
             keys = keys.join(seen, ["h1", "h2"], "left")
         else:
             keys = keys.withColumn("owner", F.lit(None).cast("long"))
-        keys = materialize(keys, "line-keys")
+        keys = keep(keys)
         self.levels[0].append(self._write(keys.filter("owner is null").select("h1", "h2", F.col("first").alias("owner"))))
         self.compact()
         repeated = keys.filter("owner is not null or last > first").select("h1", "h2", F.coalesce("owner", "first").alias("owner"))
@@ -85,7 +88,7 @@ def dropped_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, n_
     """(doc, keys): for each document the hashes of the lines that it loses."""
     hashes = F.array_distinct(F.array_compact(F.transform(split_lines(F.col(text_col)), lambda x: key_hash(x, min_chars))))
     pairs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.explode(hashes).alias("k"))
-    pairs = materialize(pairs.select("doc", "k.h1", "k.h2"), "line-pairs")
+    pairs = keep(pairs.select("doc", "k.h1", "k.h2"))
     cuts = [i / n_batches for i in range(1, n_batches)]
     edges = pairs.select(F.percentile_approx("doc", F.array(*map(F.lit, cuts)), 1000).alias("e")).first()["e"] if cuts else None
     edges = sorted(set(edges or []))
@@ -96,7 +99,7 @@ def dropped_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, n_
             batch = batch.filter(F.col("doc") > edges[i - 1])
         if i < len(edges):
             batch = batch.filter(F.col("doc") <= edges[i])
-        drops.append(materialize(store.add(batch), "line-drops"))
+        drops.append(keep(store.add(batch)))
     out = drops[0]
     for more in drops[1:]:
         out = out.unionByName(more)
