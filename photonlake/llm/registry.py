@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from photonlake.llm import language_id, license_scan, line_dedup, media, minhash, mixing, packing, quality, vector_dedup
+from photonlake.llm import language_id, license_scan, line_dedup, media, minhash, mixing, packing, quality, suffix_dedup, vector_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_language_id": language_id.op3_language_id,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_media_columns": media.op6_media_columns,
         "op7_vector_near_dedup": vector_dedup.op7_vector_near_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
