@@ -7,12 +7,13 @@ document's cells receive. The rank bound of a document is inverse to its weight,
 its k coordinates whatever its length; documents with an empty coordinate throw again with twice the bound.
 Two signatures agree at a coordinate with the probability of their weighted Jaccard similarity.
 
-Texts with equal words form one class and go on as one. Bands of the signature give buckets; a bucket compares its
-members with a hub, not with each other, and pairs found are verified exactly. Buckets that still hold
-several components try another hub, and what then remains compares members of different components only.
+Texts with equal words form one class and go on as one. Bands of the signature give buckets, whose members are verified
+exactly against the bucket's hub. In the groups of hubs that still hold several components, members of different
+components are then tested against each other in place, tile by tile, so no link of a bucket is lost and no
+table of pairs is made.
 
-Nulls and odd input: a text without words (null, empty, blanks) is alone in its class; one of fewer than five words is
-one shingle; rows that share a doc_id are one document for linking and are all returned; a null doc_id is
+Nulls and odd input: texts without words (null, empty, blanks) have equal words and are one class; one of fewer than
+five words is one shingle; rows that share a doc_id are one document for linking and are all returned; a null doc_id is
 classed by equal words only; an empty table gives an empty result; other columns pass through ``dedup``.
 """
 
@@ -29,6 +30,8 @@ from photonlake.llm.components import connected_components
 WORDS, THRESHOLD = 5, 0.8
 #: 18 bands of 5: a pair of similarity 0.8 meets in some band with probability 0.9992.
 BANDS, ROWS = 18, 5
+#: Members of a hub's group that are tested against each other in one task.
+TILE = 512
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = WORDS):
@@ -118,7 +121,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, per_band: int) -> DataFrame:
-    """id, k1, k2 (hash of the words; null without words), bands."""
+    """id, k1, k2 (hash of the words), bands (none without words)."""
 
     def run(batches):
         for batch in batches:
@@ -128,7 +131,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, per_band: in
                 cells = unit_cells(*multiset(rows, hashes))
                 sign = dart_signatures(part.num_rows, *cells, bands * per_band)
                 none = n_words == 0
-                keys = [pa.array(whole[:, i].view(np.int64), mask=none) for i in (0, 1)]
+                keys = [pa.array(np.ascontiguousarray(whole[:, i]).view(np.int64)) for i in (0, 1)]
                 found = np.where(none, 0, bands)
                 yield pa.RecordBatch.from_arrays([part.column(0), *keys, _lists(band_hashes(sign, bands, per_band)[~none].reshape(-1).view(np.int64), found)], ["id", "k1", "k2", "bands"])
 
@@ -153,48 +156,74 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("units").alias("ua"))
     right = sets.select(F.col("id").alias("b"), F.col("units").alias("ub"))
     na, nb = F.size("ua"), F.size("ub")
-    met = pairs.join(left, "a").join(right, "b").filter((F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9))
+    # Merge joins at every size: the plan, and so the disk that a run needs, grows in proportion.
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter((F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9))
     both = F.size(F.array_intersect("ua", "ub"))
     return met.withColumn("_both", both).filter(F.col("_both") >= (na + nb - F.col("_both")) * threshold - 1e-9).select("a", "b")
 
 
+def cross_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members of different components of a hub's group; groups: (hub, rep, comp).
+
+    Groups are cut into tiles of at most ``TILE`` by ``TILE`` members. A tile gets each member's units once and tests in
+    place; no pair is written unless it is a link, and members that a link of the tile joined are not tested again."""
+    sizes = groups.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
+    placed = groups.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
+    tiles = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
+    tiles = tiles.select("hub", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rep", "comp")
+    parts = tiles.join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep").select("hub", "i", "j", "rep", "comp", "units")
+
+    def run(table):
+        table = table.sort_by("rep").combine_chunks()
+        reps, units = table.column("rep").to_numpy(), table.column("units").combine_chunks()
+        size = np.diff(units.offsets.to_numpy())
+        start = np.cumsum(size) - size
+        comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        values = np.unique(units.flatten().to_numpy(), return_inverse=True)[1]
+        mark = np.zeros(int(values.max()) + 1 if len(values) else 1, dtype=bool)
+        found = []
+        largest = np.bincount(comp).argmax()
+        # A pair is tested from its member outside the largest component; of two such, from the first.
+        for p in np.flatnonzero(comp != largest):
+            near = (comp != comp[p]) & (np.minimum(size, size[p]) >= np.maximum(size, size[p]) * threshold - 1e-9)
+            near[:p] &= comp[:p] == largest
+            q = np.flatnonzero(near)
+            if not len(q):
+                continue
+            mark[values[start[p] : start[p] + size[p]]] = True
+            at = np.repeat(start[q] - (np.cumsum(size[q]) - size[q]), size[q]) + np.arange(size[q].sum())
+            both = np.add.reduceat(mark[values[at]].astype(np.int64), np.cumsum(size[q]) - size[q])
+            mark[values[start[p] : start[p] + size[p]]] = False
+            for o in q[both >= (size[p] + size[q] - both) * threshold - 1e-9]:
+                if comp[o] != comp[p]:
+                    found.append((reps[p], reps[o]))
+                    old, new = sorted((comp[p], comp[o]), key=lambda c: c == largest)
+                    comp[comp == old] = new
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return parts.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
     """docs' rows as (id, class_id, kept): class_id is the smallest id of the class."""
     rows = keep(signed(docs, id_col, text_col, bands, per_band))
     # One representative per word sequence: the smallest id. Copies combine before the shuffle.
-    same = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
-    same = keep(same)
-    reps = same.filter("rep is not null").select("rep", F.posexplode("bands").alias("band", "hash"))
-    sizes = reps.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.min_by("rep", F.xxhash64("rep", "band")).alias("hub2"), F.count("*").alias("n")).filter("n > 1")
+    same = keep(rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     files = files_for(same.count() * bands)
-    members = materialize(reps.join(sizes, ["band", "hash"]).select("band", "hash", "rep", "hub", "hub2"), "minhash-members", files)
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(wanted, "id", "left_semi")
-    sets = keep(shingle_sets(texts).dropDuplicates(["id"]))
-
-    def star(hub: str, source: DataFrame) -> DataFrame:
-        return source.select(F.col(hub).alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
-
-    def labelled(edges: DataFrame) -> DataFrame:
-        """Members of buckets that still hold more than one component."""
-        comp = connected_components(edges)
-        named = members.join(comp, members["rep"] == comp["node"], "left").select("band", "hash", "rep", "hub", "hub2", F.coalesce("component", "rep").alias("comp"))
-        mixed = named.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "hash")
-        return materialize(named.join(mixed, ["band", "hash"], "left_semi"), "minhash-mixed", files)
-
-    edges = materialize(verify(star("hub", members), sets, threshold), "minhash-links", files)
-    rest = labelled(edges)
-    if rest.limit(1).count():
-        edges = materialize(edges.unionByName(verify(star("hub2", rest), sets, threshold)).distinct(), "minhash-links", files)
-        rest = labelled(edges)
-        # Only members of different components are compared, and only of sizes that can reach the threshold.
-        sized = (rest.join(sets.select(F.col("id").alias("rep"), F.size("units").alias("n")), "rep"))
-        x, y = sized.alias("x"), sized.alias("y")
-        close = F.expr(f"x.comp <> y.comp and x.rep < y.rep and least(x.n, y.n) >= greatest(x.n, y.n) * {threshold} - 1e-9")
-        cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & close)
-        cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        edges = materialize(edges.unionByName(verify(cross, sets, threshold)).distinct(), "minhash-links", files)
+    reps = same.filter("rep is not null").select("rep", F.posexplode("bands").alias("band", "hash"))
+    hubs = reps.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # All pairs that share a bucket share its hub; the hub is a member of its own group.
+    members = materialize(reps.join(hubs, ["band", "hash"]).select("hub", "rep").distinct(), "minhash-members", files)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(members.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    sets = keep(shingle_sets(texts.groupBy("id").agg(F.first(text_col).alias(text_col))))
+    star = members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    edges = materialize(verify(star, sets, threshold), "minhash-links", files)
     comp = connected_components(edges)
+    named = members.join(comp, members["rep"] == comp["node"], "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = named.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("hub")
+    groups = materialize(named.join(mixed, "hub", "left_semi"), "minhash-mixed", files)
+    more = materialize(cross_links(groups, sets, threshold), "minhash-links", files)
+    comp = connected_components(edges.unionByName(more))
     named = same.join(comp, same["rep"] == comp["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     out = rows.join(named, ["k1", "k2"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
