@@ -52,8 +52,9 @@ def collapse_blanks(c: Column) -> Column:
 
 
 def model_slug(c: Column) -> Column:
-    """A model name: lower-case letters, digits and dashes, none at the ends, 40 characters at most."""
-    return F.regexp_replace(F.substring(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "-"), 1, 40), r"^-+|-+$", "")
+    """A model name: lower-case letters, digits, dots and dashes, none of the last two at the ends, 40 characters at most."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9.-]+", "-"), r"^[-.]+|[-.]+$", "")
+    return F.regexp_replace(F.substring(plain, 1, 40), r"[-.]+$", "")
 
 
 def camera_label(make: Column, model: Column) -> Column:

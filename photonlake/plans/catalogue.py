@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from photonlake.plans import browse
+
+_FAMILIES = [browse]
+QUERIES: dict = {name: f for family in _FAMILIES for name, f in family.QUERIES.items()}
+ORACLES: dict = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}
