@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASCII_LOWER = str.maketrans(UPPER, LOWER)
@@ -62,7 +63,7 @@ def camera_label(make: Column, model: Column) -> Column:
     return F.trim(F.concat(F.coalesce(make, F.lit("")), F.lit(" "), F.coalesce(model, F.lit(""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_key(names: pd.Series) -> pd.Series:
     """Key under which account names are unique: NFKC, then case folding."""
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", s).casefold()), na_action="ignore")
@@ -91,6 +92,6 @@ def clean_caption(s: str) -> str:
     return " ".join(html.unescape(html.unescape(s)).split()).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_text(texts: pd.Series) -> pd.Series:
     return texts.map(clean_caption, na_action="ignore")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,7 +50,7 @@ def median_hash(a: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_half(blobs: pd.Series) -> pd.Series:
     """Little-endian half floats to vectors."""
     return blobs.map(lambda b: np.frombuffer(b, dtype="<f2").astype("float32"), na_action="ignore")
@@ -64,6 +65,6 @@ def encode_half_array(v: np.ndarray) -> bytes:
     return np.where(tie, up, half).astype("<f2").tobytes()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_half(vectors: pd.Series) -> pd.Series:
     return vectors.map(encode_half_array, na_action="ignore")

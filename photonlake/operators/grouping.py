@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from photonlake.operators.grouped import map_whole_groups
 from photonlake.operators.ordering import group_order, page
 from photonlake.operators.sessions import pack_chunks, scenes_and_bursts
 from photonlake.schemas import GROUP_BURST, GROUP_DUPLICATE, SOURCE_MEME
@@ -21,28 +22,28 @@ def stack_frames(frames: DataFrame, keys: list[str], bits: int) -> DataFrame:
     """keys, id, stack_top, stack_size, stacked of the frames in stacks of two or more.
 
     Best first (overall, then lower id), an unassigned frame takes every later unassigned one within ``bits`` of its own
-    hash; hash 0 is none. The order decides, so a chunk (bounded by the packing) is worked through in one call."""
+    hash; hash 0 is none. The order decides, so a chunk (bounded by the packing) is worked through in one piece."""
     schema = frames.select(*keys, "id").schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["overall", "id"], ascending=[False, True])
-        h = pdf["phash"].to_numpy(np.int64).view(np.uint64)
-        ids = pdf["id"].to_numpy()
-        free = h != 0
-        top, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        for i in range(len(h)):
-            if not free[i]:
-                continue
-            near = np.flatnonzero(free[i:] & (bit_distance(h[i:], h[i]) <= bits)) + i
-            if len(near) > 1:
-                top[near], size[near] = ids[i], len(near)
-                free[near] = False
-        out = pdf[[*keys, "id"]].assign(stack_top=top, stack_size=size, stacked=(top != ids) & (top != 0))
-        return out[out["stack_size"] > 0]
+    def work(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        hashes, all_ids = pdf["phash"].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy()
+        top, size = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+            h, ids, free = hashes[a:b], all_ids[a:b], np.ones(b - a, dtype=bool)
+            for i in range(b - a):
+                if not free[i]:
+                    continue
+                near = np.flatnonzero(free[i:] & (bit_distance(h[i:], h[i]) <= bits)) + i
+                if len(near) > 1:
+                    top[a + near], size[a + near] = ids[i], len(near)
+                    free[near] = False
+        out = pdf[[*keys, "id"]].assign(stack_top=top, stack_size=size, stacked=(top != all_ids) & (top != 0))
+        return out[size > 0]
 
     wanted = frames.select(*dict.fromkeys([*keys, "id", "overall", "phash"])).filter("phash is not null and phash <> 0")
-    return wanted.groupBy(*keys).applyInPandas(work, f"{kinds}, stack_top long, stack_size long, stacked boolean")
+    best_first = [F.col("overall").desc_nulls_last(), F.col("id").asc()]
+    return map_whole_groups(wanted, keys, best_first, work, f"{kinds}, stack_top long, stack_size long, stacked boolean")
 
 
 def duplicate_sets(photos: DataFrame, hash_col: str = "phash") -> DataFrame:

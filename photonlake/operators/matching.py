@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from photonlake.functions.paths import original_uuid
 from photonlake.functions.vectors import hamming
+from photonlake.operators.grouped import map_whole_groups
 
 
 def overlap(a: list[Column], b: list[Column]) -> Column:
@@ -123,12 +124,13 @@ def keep_boxes(boxes: np.ndarray, scores: np.ndarray, limit: float) -> np.ndarra
 def suppress(boxes: DataFrame, limit: float = 0.4) -> DataFrame:
     """Boxes (photo_id, id, x1 .. y2, score) without those that a better one of the photo covers."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pdf.iloc[keep_boxes(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["score"].to_numpy(float), limit)]
+    def work(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        corners, scores = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["score"].to_numpy(float)
+        ends = np.append(starts[1:], len(pdf))
+        return pdf.iloc[np.concatenate([a + keep_boxes(corners[a:b], scores[a:b], limit) for a, b in zip(starts, ends, strict=True)])]
 
     wanted = boxes.select("photo_id", "id", "x1", "y1", "x2", "y2", "score")
-    return wanted.groupBy("photo_id").applyInPandas(work, wanted.schema)
+    return map_whole_groups(wanted, ["photo_id"], ["id"], work, wanted.schema)
 
 
 def classify_files(listing: DataFrame, known: DataFrame) -> DataFrame:

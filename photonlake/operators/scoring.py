@@ -72,7 +72,11 @@ def class_mass(rows: DataFrame, prompts: DataFrame, key: str = "id", vector: str
     raised = F.transform("s", lambda x: F.struct(x["name"].alias("name"), F.exp(x["x"] - F.col("m")).alias("e")))
     opened = opened.select(key, raised.alias("s")).withColumn("z", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["e"]))
     names = list(dict.fromkeys(n for n, _ in fixed))
-    mass = F.array(*[F.struct(F.lit(n).alias("name"), (F.aggregate(F.filter("s", lambda x, n=n: x["name"] == n), F.lit(0.0), lambda a, x: a + x["e"]) / F.col("z")).alias("prob")) for n in names])
+
+    def share(name: str) -> Column:
+        return F.aggregate(F.filter("s", lambda x: x["name"] == name), F.lit(0.0), lambda a, x: a + x["e"]) / F.col("z")
+
+    mass = F.array(*[F.struct(F.lit(n).alias("name"), share(n).alias("prob")) for n in names])
     return opened.select(key, F.explode(mass).alias("c")).select(key, "c.*")
 
 
