@@ -61,9 +61,12 @@ def discard(spark: SparkSession, path: str) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of finished, unreferenced jobs."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references go first, and the cleaner works behind the collector
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def ranked_bucket(digest: Column, n_buckets: int) -> Column:

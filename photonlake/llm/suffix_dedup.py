@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import BASE, BASE_INVERSE, materialize, mix64, powers, release_shuffles, text_buffers, text_slices
+from photonlake.llm.common import BASE, BASE_INVERSE, discard, files_for, materialize, mix64, powers, release_shuffles, scratch_path, text_buffers, text_slices
 
-LENGTH, GRAM, SPAN = 100, 32, 8
+LENGTH, GRAM, SPAN = 100, 32, 16
+#: A stretch is (gram start, windows before it) in one number, so that rows in flight stay small.
+ROOM = 10
 LAST_ID = (1 << 63) - 1
 
 
@@ -164,19 +166,31 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, spa
             for part in text_slices(batch, 1):
                 ids = part.column(0).to_numpy()
                 h, c, row, at, lo, hi = anchors(*text_buffers(part.column(1)), length, gram)
-                ints = [pa.array(x.astype(np.int32)) for x in (at, lo, hi)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[row]), *ints], ["h", "c", "id", "at", "lo", "hi"])
-
-    marks = texts.mapInArrow(find, "h long, c long, id long, at int, lo int, hi int")
+                place = at << 2 * ROOM | (at - lo) << ROOM | (at - hi)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[row]), pa.array(place)], ["h", "c", "id", "place"])
+
+    part = (1 << ROOM) - 1
+    at = F.shiftright("place", 2 * ROOM)
+    low, high = at - F.shiftright("place", ROOM).bitwiseAND(part), at - F.col("place").bitwiseAND(part)
+    n_bytes = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    files = files_for(n_bytes, 32 << 20)
+    marks = texts.mapInArrow(find, "h long, c long, id long, place long")
     often = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    shared = materialize(marks.join(often, "h"), "suffix-grams")
+    path = scratch_path(spark, "suffix-grams")
+    found = marks.join(often, "h")
+    found.coalesce(files).write.parquet(path)
+    shared = spark.read.schema(found.schema).parquet(path)
+    release_shuffles(spark)
+    firsts = shared.groupBy("h", "c").agg(F.min(F.struct("id", "place")).alias("f"), F.count("*").alias("n"))
+    firsts = materialize(firsts.select("h", "c", "f.*", "n"), "suffix-firsts", files)
+    release_shuffles(spark)
+    copied = firsts.filter("n > 1").select("h", "c", F.col("id").alias("id0"), F.col("place").alias("place0"))
+    later = shared.join(copied, ["h", "c"]).filter("id <> id0 or place <> place0")
+    whole = materialize(later.select("id", low.cast("int").alias("lo"), (high + length).cast("int").alias("hi")), "suffix-whole", files)
+    discard(spark, path)
     release_shuffles(spark)
-    firsts = shared.groupBy("h", "c").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("f"), F.count("*").alias("n"))
-    firsts = materialize(firsts.select("h", "c", "f.*", "n"), "suffix-firsts")
-    copied = firsts.filter("n > 1").select("h", "c", F.col("id").alias("id0"), F.col("at").alias("at0"))
-    whole = shared.join(copied, ["h", "c"]).filter("id <> id0 or at <> at0").select("id", "lo", (F.col("hi") + length).alias("hi"))
     several = firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
-    open_ = firsts.join(several, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", "lo", "hi")).alias("marks"))
+    open_ = firsts.join(several, "h").groupBy("id").agg(F.collect_list(F.struct("h", at.alias("at"), low.alias("lo"), high.alias("hi"))).alias("marks"))
 
     def cut(batches):
         for batch in batches:
@@ -189,7 +203,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, spa
                 ids, base = part.column(0).to_numpy()[row], offsets[row]
                 # Rows that repeat an id with a shorter text have no such windows.
                 fits = base + hi + length <= offsets[row + 1]
-                h, at, lo, hi, ids, base = (x[fits] for x in (h, at.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64), ids, base))
+                h, at, lo, hi, ids, base = (x[fits] for x in (h, at, lo, hi, ids, base))
                 if not len(h):
                     continue
                 low, high = (at - hi) // span, (at - lo) // span
@@ -290,7 +304,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str)
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """Each document without the bytes of strings that start earlier."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
-    spans = materialize(repeated_spans(texts, length, gram, span), "suffix-spans")
+    spans = materialize(repeated_spans(texts, length, gram, span), "suffix-spans", files_for(texts.count(), 10_000))
     release_shuffles(docs.sparkSession)
     return remove_spans(docs, spans, id_col, text_col)
 
