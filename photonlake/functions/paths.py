@@ -109,17 +109,18 @@ def in_app_cache(p: Column) -> Column:
 
 
 #: Folders that a directory walk leaves out.
-SYSTEM_FOLDERS = ("@eaDir", "#recycle", "#snapshot", "$RECYCLE.BIN", "System Volume Information", "lost+found")
+SYSTEM_FOLDERS = ("@eaDir", "#recycle", "#snapshot", "$RECYCLE.BIN", "System Volume Information", "node_modules", "lost+found")
 
 
 def excluded(p: Column, patterns: list[str] = ()) -> Column:
-    """Paths that a walk skips: hidden parts, system folders, preview and no-index packages, resource forks, app caches,
-    and the caller's substrings (a pattern with * or ? is matched against each part)."""
+    """File paths that a walk skips: below hidden or system folders, preview and no-index packages, resource forks, app
+    caches, and the caller's patterns (one with * or ? is matched against each part, others are substrings)."""
     names = "|".join(s.replace("$", r"\$").replace("+", r"\+") for s in SYSTEM_FOLDERS)
-    out = F.regexp_like(p, F.lit(rf"(?:^|[/\\])(?:\.[^/\\]+|{names}|[^/\\]*\.lrdata|[^/\\]*\.noindex)(?:[/\\]|$)")) | in_app_cache(p)
+    folder = rf"(?:^|[/\\])(?:\.[^/\\]+|{names}|[^/\\]*\.lrdata|[^/\\]*\.noindex)[/\\]"
+    out = F.regexp_like(p, F.lit(folder)) | F.regexp_like(p, F.lit(r"(?:^|[/\\])\._[^/\\]*$")) | in_app_cache(p)
     for pattern in patterns:
         if "*" in pattern or "?" in pattern:
-            body = "".join({"*": r"[^/\\]*", "?": r"[^/\\]"}.get(c, "\\" + c if not c.isalnum() else c) for c in pattern)
+            body = "".join({"*": r"[^/\\]*", "?": r"[^/\\]"}.get(c, c if c.isalnum() else "\\" + c) for c in pattern)
             out = out | F.regexp_like(p, F.lit(rf"(?:^|[/\\]){body}(?:[/\\]|$)"))
         else:
             out = out | F.contains(p, F.lit(pattern))
