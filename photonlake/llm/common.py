@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,17 +20,33 @@ BLANK_RUN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here when unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='photonlake-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+    if not root or root.startswith("<"):
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='photonlake-')}")
+        root = context._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _clean_up() -> None:
+    """Scratch tables go with the driver's process, where its session still lives."""
+    for spark, path in _scratch:
+        with contextlib.suppress(Exception):
+            discard(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_clean_up)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table", files: int | None = None) -> DataFrame:
