@@ -74,14 +74,17 @@ LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\
 
 
 def repair_mojibake(s: str) -> str:
-    """Undo one reading of UTF-8 as Windows-1252 or Latin-1, when the result is valid."""
-    for wrong in ("cp1252", "latin-1"):
-        try:
-            fixed = s.encode(wrong).decode("utf-8")
-        except UnicodeError:
-            continue
-        return fixed if len(fixed) < len(s) else s
-    return s
+    """Undo one reading of UTF-8 as Windows-1252 or Latin-1 in every run of other than ASCII letters, where the result is valid."""
+
+    def fix(m: re.Match) -> str:
+        for wrong in ("cp1252", "latin-1"):
+            try:
+                return m[0].encode(wrong).decode("utf-8")
+            except UnicodeError:
+                continue
+        return m[0]
+
+    return re.sub(r"[^\x00-\x7f]{2,}", fix, s)
 
 
 def clean_caption(s: str) -> str:

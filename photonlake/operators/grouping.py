@@ -108,7 +108,8 @@ def stack_members(photos: DataFrame, top: int) -> DataFrame:
 
 def regroup(photos: DataFrame, burst_gap: float = 3, stack_bits: int = 10, scene_gap: float = 600, chunk_limit: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(photo columns, groups): scenes, bursts, chunks, stacks, duplicate sets and both kinds of group rows."""
-    filled = photos.withColumn("camera_make", F.coalesce("camera_make", F.lit(""))).withColumn("camera_model", F.coalesce("camera_model", F.lit("")))
+    plain = photos.drop("burst_id", "stack_top", "stack_size", "stacked", "dup_id")
+    filled = plain.withColumn("camera_make", F.coalesce("camera_make", F.lit(""))).withColumn("camera_model", F.coalesce("camera_model", F.lit("")))
     keys = ["camera_make", "camera_model"]
     frames = pack_chunks(scenes_and_bursts(filled, keys, burst_gap, scene_gap), keys, chunk_limit)
     stacks = stack_frames(frames.filter("chunk >= 0"), [*keys, "scene", "chunk"], stack_bits).select("id", "stack_top", "stack_size", "stacked")
@@ -120,7 +121,7 @@ def regroup(photos: DataFrame, burst_gap: float = 3, stack_bits: int = 10, scene
         .join(sets, "id", "left")
         .select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("burst_id", "stack_top", "stack_size")), F.coalesce("stacked", F.lit(False)).alias("stacked"), F.coalesce("dup_id", F.lit(0)).alias("dup_id"))
     )
-    filled = filled.drop("burst_id", "stack_top", "stack_size", "stacked", "dup_id").withColumn("camera", F.trim(F.concat_ws(" ", "camera_make", "camera_model")))
+    filled = filled.withColumn("camera", F.trim(F.concat_ws(" ", "camera_make", "camera_model")))
     both = columns.select("id", F.explode(F.array(F.struct(F.lit(GROUP_BURST).alias("kind"), F.col("burst_id").alias("g")), F.struct(F.lit(GROUP_DUPLICATE).alias("kind"), F.col("dup_id").alias("g")))).alias("x")).filter("x.g <> 0")
     groups = group_summary(filled.join(both.select("id", "x.*"), "id"), ["kind", "g"]).withColumnRenamed("g", "id")
     return columns, groups

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: TIFF value types: bytes a value, struct letter.
@@ -264,23 +264,28 @@ def image_metadata(data: bytes) -> dict:
     }
 
 
-METADATA = "path string, format string, width int, height int, camera_make string, camera_model string, lens string, artist string, taken string, exposure_time double, fnumber double, iso double, focal_length double, focal35 double, flash boolean, gps_lat double, gps_lon double, error string"
+#: Columns of the metadata table.
+METADATA = [("path", pa.string()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32())]
+METADATA += [(n, pa.string()) for n in ("camera_make", "camera_model", "lens", "artist", "taken")]
+METADATA += [(n, pa.float64()) for n in ("exposure_time", "fnumber", "iso", "focal_length", "focal35")]
+METADATA += [("flash", pa.bool_()), ("gps_lat", pa.float64()), ("gps_lon", pa.float64()), ("error", pa.string())]
 
 
 def read_metadata(files: DataFrame) -> DataFrame:
     """Metadata of (path, content), one row a file; a file that fails carries its error and stops nothing."""
-    names = [c.split()[0] for c in METADATA.split(", ")]
+    schema = pa.schema(METADATA)
+    sql = {pa.string(): "string", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean"}
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    row = image_metadata(bytes(content))
+                    row = image_metadata(content or b"")
                     row["error"] = None if row["format"] else "unknown format"
                 except (ValueError, struct.error) as e:
                     row = {"error": str(e)}
                 rows.append({"path": path, **row})
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path", "content").mapInPandas(run, METADATA)
+    return files.select("path", "content").mapInArrow(run, ", ".join(f"{n} {sql[t]}" for n, t in METADATA))

@@ -14,16 +14,20 @@ def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def _sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
+    out = events.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("size"), F.min("event_id").alias("burst_id"), F.max("value").alias("best"))
+    return out.select(key, "burst_id", "size", "best", F.col("session_window.start").alias("start_at"), F.col("session_window.end").alias("closed_at"))
+
+
 def stream_bursts(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
     """Bursts per key as sessions: steps up to the gap join. A session closes once the watermark has passed its end by the
     gap, which is when no later row can join it; state is one open session a key."""
-    out = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("size"), F.min("event_id").alias("burst_id"), F.max("value").alias("best"))
-    return out.select(key, "burst_id", "size", "best", F.col("session_window.start").alias("start_at"), F.col("session_window.end").alias("closed_at"))
+    return _sessions(events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late), key, ts, gap)
 
 
 def batch_bursts(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     """The same sessions in batch."""
-    return stream_bursts(events, key, ts, gap, "0 seconds") if events.isStreaming else events.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("size"), F.min("event_id").alias("burst_id"), F.max("value").alias("best")).select(key, "burst_id", "size", "best", F.col("session_window.start").alias("start_at"), F.col("session_window.end").alias("closed_at"))
+    return _sessions(events.withColumn(ts, F.col(ts).cast("timestamp")), key, ts, gap)
 
 
 def run_available(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
