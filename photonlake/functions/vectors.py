@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: inside a lambda an outer expression would be computed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, summed from the first component on."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -19,16 +26,17 @@ def norm(a: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(a)
+    return bind(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double"))))
 
 
 def quantise(a: Column) -> Column:
     """struct(q array<int>, scale): symmetric int8 steps of max / 127, halves away from zero; a zero vector has scale 0."""
-    top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    step = F.lit(127.0) / top
-    q = F.when(top > 0, F.transform(a, lambda x: F.round(x.cast("double") * step).cast("int"))).otherwise(F.transform(a, lambda x: F.lit(0)))
-    return F.struct(q.alias("q"), F.when(top > 0, top / 127.0).otherwise(0.0).alias("scale"))
+
+    def steps(top: Column) -> Column:
+        q = F.when(top > 0, F.transform(a, lambda x: F.round(x.cast("double") * (F.lit(127.0) / top)).cast("int"))).otherwise(F.transform(a, lambda x: F.lit(0)))
+        return F.struct(q.alias("q"), F.when(top > 0, top / 127.0).otherwise(0.0).alias("scale"))
+
+    return bind(F.array_max(F.transform(a, lambda x: F.abs(x.cast("double")))), steps)
 
 
 def dot_quantised(a: Column, b: Column) -> Column:
@@ -45,9 +53,9 @@ def median_hash(a: Column) -> Column:
     """64 bits, first component first: is the component above the median of all?"""
     n = F.size(a)
     ordered = F.array_sort(F.transform(a, lambda x: x.cast("double")))
-    median = (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, (F.floor(n / 2) + 1).cast("int"))) / 2
-    bits = F.transform(a, lambda x, i: F.when(x.cast("double") > median, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x))
+    median = bind(ordered, lambda o: (F.element_at(o, F.floor((n + 1) / 2).cast("int")) + F.element_at(o, (F.floor(n / 2) + 1).cast("int"))) / 2)
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return bind(median, lambda m: F.aggregate(a, zero, lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x.cast("double") > m, one).otherwise(zero))))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
