@@ -218,7 +218,7 @@ def weighted_error(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_custkey AS key, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
 def rank_hits(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders")
-    return o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
+    return o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("rank"))
 
 
 @query("SELECT user_id, max(n) AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error') GROUP BY 1")

@@ -37,7 +37,7 @@ bursts AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY camera_model, run) >=
 _SUMMARY = """min(taken_at) AS start_at, max(taken_at) AS end_at, coalesce(min(CASE WHEN taken_at <> 0 THEN taken_at END), 0) AS oldest_at,
   arg_max(id, (overall, -id)) AS best_id, max(overall) AS best_overall, min(overall) AS min_overall, greatest(0, max(overall * 2)) AS max_technical, greatest(0, max(overall % 10)) AS max_aesthetic,
   greatest(0, max((CAST(floor(overall % 7) AS DOUBLE), overall % 3))[1]) AS max_focus, greatest(0, max((CAST(floor(overall % 7) AS DOUBLE), overall % 3))[2]) AS focus_sharp, greatest(0, max(overall % 11)) AS max_colorful,
-  greatest(0, max((id % 5, overall))[1]) AS max_faces, greatest(0, max((id % 5, overall))[2]) AS faces_overall, count(*) FILTER (WHERE source = 3) AS memes"""
+  CAST(greatest(0, max((id % 5, overall))[1]) AS INTEGER) AS max_faces, greatest(0, max((id % 5, overall))[2]) AS faces_overall, count(*) FILTER (WHERE source = 3) AS memes"""
 
 
 def _bursts(spark: SparkSession, d: str) -> DataFrame:

@@ -55,7 +55,7 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT query, id, score, rank FROM (SELECT b.vec_id AS query, a.vec_id AS id, {_R6.format(_DOT)} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DOT} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id < 10) WHERE rank <= 5")
 def knn_multi_query(spark: SparkSession, d: str) -> DataFrame:
     q = [(r["vec_id"], r["embedding"]) for r in load(spark, d, "embeddings").filter("vec_id < 10").collect()]
-    return _rounded(vector_search.knn_many(A.vectors(spark, d), q, 5), "score")
+    return _rounded(vector_search.knn_many(A.vectors(spark, d), q, 5), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"SELECT a.vec_id AS id, {_R6.format(f'max({_DOT})')} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (1, 2, 3, 4) AND a.vec_id % 9 <> 0 GROUP BY 1 ORDER BY max({_DOT}) DESC, a.vec_id LIMIT 30")
@@ -98,7 +98,7 @@ def phash_bits(spark: SparkSession, d: str) -> DataFrame:
     return h.select("id", F.shiftright("phash", 32).bitwiseAND(low).alias("hi"), F.col("phash").bitwiseAND(low).alias("lo"))
 
 
-@query(f"WITH {_HASH} SELECT a.id AS a, b.id AS b, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS bits FROM h a JOIN h b ON a.label = b.label AND a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 20")
+@query(f"WITH {_HASH} SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS bits FROM h a JOIN h b ON a.label = b.label AND a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 20")
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     h = A.hashed_vectors(spark, d).select("id", "label", "phash")
     a, b = h.alias("a"), h.alias("b")
