@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from photonlake.plans import browse, groups, similarity
+from photonlake.plans import browse, groups, scalars, similarity
 
-_FAMILIES = [browse, groups, similarity]
+_FAMILIES = [browse, groups, similarity, scalars]
 QUERIES: dict = {name: f for family in _FAMILIES for name, f in family.QUERIES.items()}
 ORACLES: dict = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}
