@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from photonlake.functions.paths import in_app_cache, parent_dir
 from photonlake.operators.folders import missing_by_folder
+from photonlake.operators.ordering import dense_number
 from photonlake.schemas import SOURCE_MEME
 
 
@@ -29,20 +30,21 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def save_photos(photos: DataFrame, results: DataFrame, first_seq: int) -> DataFrame:
     """Upsert by path: ids and scores stay where the content is the same; every saved row gets a new change number."""
     old = photos.select("path", F.col("id").alias("_id"), F.col("fingerprint").alias("_fp"), F.col("aesthetic").alias("_aes"), F.col("overall").alias("_ovr"), F.col("apple_shot").alias("_shot"))
-    top = photos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    joined = results.join(old, "path", "left").crossJoin(F.broadcast(top))
-    fresh = F.row_number().over(W.partitionBy(F.col("_id").isNull()).orderBy("path"))
+    top = photos.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    joined = dense_number(results.join(old, "path", "left"), ["path"], "_nth")
+    fresh = dense_number(joined.filter("_id is null").select("path"), ["path"], "_new")
+    joined = joined.join(fresh, "path", "left")
     same = F.col("_fp") == F.col("fingerprint")
     out = joined.withColumns(
         {
-            "id": F.coalesce("_id", F.col("_top") + fresh).cast("long"),
-            "seq": (F.lit(first_seq) + F.row_number().over(W.orderBy("path")) - 1).cast("long"),
+            "id": F.coalesce("_id", F.lit(top) + F.col("_new") + 1).cast("long"),
+            "seq": (F.lit(first_seq) + F.col("_nth")).cast("long"),
             "aesthetic": F.when(same, F.coalesce("aesthetic", "_aes")).otherwise(F.col("aesthetic")),
             "overall": F.when(same & F.col("aesthetic").isNull() & F.col("_aes").isNotNull(), F.col("_ovr")).otherwise(F.col("overall")),
             "source": F.when(F.coalesce("_shot", F.lit(False)), F.lit(SOURCE_MEME)).otherwise(F.col("source")),
             "apple_shot": F.coalesce("_shot", F.lit(False)),
         }
-    ).drop("_id", "_fp", "_aes", "_ovr", "_shot", "_top")
+    ).drop("_id", "_fp", "_aes", "_ovr", "_shot", "_nth", "_new")
     return upsert(photos, out.select(*photos.columns), ["path"])
 
 

@@ -59,3 +59,14 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
 def resort_hits(hits: DataFrame, k: int, order: list[Column]) -> DataFrame:
     """Re-sort within the best k hits (columns score, id)."""
     return hits.orderBy(F.col("score").desc(), F.col("id").asc()).limit(k).orderBy(*order)
+
+
+def dense_number(df: DataFrame, keys: list[str], out: str, buckets: int = 256) -> DataFrame:
+    """Number the rows 0, 1, .. without a global sort: hash buckets are counted, and rows are numbered in their own."""
+    from pyspark.sql.window import Window as W
+
+    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    before = F.coalesce(F.sum("count").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = rows.groupBy("_bucket").count().select("_bucket", before.alias("_base"))
+    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*keys)) - 1
+    return rows.join(base, "_bucket").withColumn(out, (F.col("_base") + inside).cast("long")).drop("_bucket", "_base")

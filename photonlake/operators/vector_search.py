@@ -40,9 +40,10 @@ def knn_filtered(vectors: DataFrame, allowed: DataFrame, query, k: int, **option
 
 def similar_to(vectors: DataFrame, source: DataFrame, k: int, vector_col: str = "embedding") -> DataFrame:
     """Best k for the single row of source, itself left out."""
-    probe = source.select(F.col("id").alias("_self"), F.col(vector_col).alias("_q")).limit(1)
-    hits = vectors.crossJoin(F.broadcast(probe)).filter(F.col("id") != F.col("_self"))
-    return hits.select("id", dot(F.col(vector_col), F.col("_q")).alias("score")).orderBy(F.col("score").desc(), F.col("id").asc()).limit(k)
+    probe = source.select("id", vector_col).first()
+    if probe is None:
+        return vectors.limit(0).select("id", F.lit(0.0).alias("score"))
+    return knn(vectors.filter(F.col("id") != probe["id"]), probe[vector_col], k, vector_col=vector_col)
 
 
 def knn_many(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, vector_col: str = "embedding") -> DataFrame:

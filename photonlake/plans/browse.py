@@ -119,11 +119,11 @@ def stacked_visibility(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT (SELECT count(*) FROM documents) AS photos, (SELECT count(*) FROM embeddings) AS faces, (SELECT count(*) FROM customer) AS people, (SELECT count(*) FROM labels WHERE quality = 1) AS labelled, (SELECT count(*) FROM events WHERE event_type = 'error') AS errors")
 def stats_counts(spark: SparkSession, d: str) -> DataFrame:
     parts = [("photos", load(spark, d, "documents")), ("faces", load(spark, d, "embeddings")), ("people", load(spark, d, "customer")), ("labelled", load(spark, d, "labels").filter("quality = 1")), ("errors", load(spark, d, "events").filter("event_type = 'error'"))]
-    out = None
+    rows = None
     for name, df in parts:
-        one = df.agg(F.count("*").alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("k"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.agg(*[F.max(F.when(F.col("k") == name, F.col("n"))).alias(name) for name, _ in parts])
 
 
 @query(f"SELECT count(*) AS n FROM {EVENTS} WHERE source <> 3")
