@@ -473,3 +473,35 @@ def test_empty_tables(spark):
         vector_dedup.near_links(vectors), packing.pack(docs, packing.default_tokenizer()), minhash.classes(docs), minhash.dedup(docs), license_scan.scan_licenses(docs),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    """Every operator returns a row per input row (packing a first piece), and repeated rows get equal results."""
+    data = corpus.rows()
+    docs = corpus.odd_columns(corpus.documents(spark))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 40)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    results = {
+        "lines": line_dedup.dedup_lines(docs).select(F.col("doc_id").alias("i"), "_n_lines", "_n_dropped", "_kept"),
+        "quality": quality.classify(docs, labels).select(F.col("doc_id").alias("i"), "_expected_grade", "_kept"),
+        "language": language_id.identify(docs).withColumnRenamed("doc_id", "i"),
+        "suffix": suffix_dedup.dedup_substrings(docs).withColumnRenamed("doc_id", "i").drop("kept"),
+        "media": media.read_media(media.store_media(docs)).withColumnRenamed("doc_id", "i").drop("embedded"),
+        "pack": packing.pack(docs, packing.default_tokenizer()).filter("piece = 0").select(F.col("doc_id").alias("i"), "start", "length", "ids_crc32"),
+        "minhash": minhash.classes(docs).withColumnRenamed("id", "i"),
+        "license": license_scan.scan_licenses(docs).withColumnRenamed("doc_id", "i").drop("blocks"),
+    }
+    for name, df in results.items():
+        got = [tuple(r) for r in df.collect()]
+        assert Counter(r[0] for r in got) == Counter(r[0] for r in data), name
+        twins = [r for r in got if r[0] == data[3][0]]
+        assert len(twins) == 2 and twins[0] == twins[1], name
+
+
+def test_long_text_stays_whole(spark):
+    text = "\n".join(f"line {i} of a very long document that goes on" for i in range(30_000))
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, "line 7 of a very long document that goes on", "en", "a", 1)], corpus.SCHEMA)
+    lines = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert lines[1]._n_lines == 30_000 and lines[1]._n_dropped == 0 and lines[2]._n_dropped == 1
+    assert packing.pack(docs, packing.default_tokenizer()).filter("doc_id = 1").agg(F.sum("length")).first()[0] > 200_000
+    assert {r.id: r.class_id for r in minhash.classes(docs).collect()} == {1: 1, 2: 2}
+    assert media.read_media(media.store_media(docs)).filter("doc_id = 1").first().n_bytes == len(text)
