@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,11 @@ def local_session(cores: int = 8, app: str = "photonlake", memory: str = "8g") -
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where unset)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root or root.startswith("<"):
+        root = f"file://{tempfile.mkdtemp(prefix='photonlake-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
