@@ -280,3 +280,51 @@ def measure(rasters: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return rasters.select("id", "width", "height", "pixels").mapInArrow(run, ", ".join(f"{n} {sql[t]}" for n, t in [("id", pa.int64()), *_COLUMNS]))
+
+
+# inputs of image models
+
+
+#: Where eyes, nose and mouth corners lie in a 112-pixel face crop.
+FACE_POINTS = np.array([[38.2946, 51.6963], [73.5318, 51.5014], [56.0252, 71.7366], [41.5493, 92.3655], [70.7299, 92.2041]])
+
+
+def similarity_transform(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """2 x 3 matrix of the scaled rotation and shift that takes src to dst with least squared error, without mirroring."""
+    s, d = src.mean(axis=0), dst.mean(axis=0)
+    # As complex numbers the best factor is one quotient.
+    p, q = (src - s) @ [1, 1j], (dst - d) @ [1, 1j]
+    spread = float((abs(p) ** 2).sum())
+    if spread == 0:
+        return np.array([[1.0, 0, 0], [0, 1.0, 0]])
+    f = (np.conj(p) * q).sum() / spread
+    turn = np.array([[f.real, -f.imag], [f.imag, f.real]])
+    return np.column_stack([turn, d - turn @ s])
+
+
+def align_face(img: np.ndarray, points: np.ndarray, size: int = 112) -> np.ndarray:
+    """The face turned and scaled to the standard places, bilinear, black outside."""
+    m = similarity_transform(np.asarray(points, float), FACE_POINTS * (size / 112))
+    inverse = np.linalg.inv(m[:, :2])
+    v, u = np.mgrid[0:size, 0:size]
+    xy = (np.stack([u, v], axis=-1) - m[:, 2]) @ inverse.T
+    low = np.floor(xy).astype(int)
+    part = xy - low
+    out = np.zeros((size, size, 3))
+    for j in (0, 1):
+        for i in (0, 1):
+            x, y = low[..., 0] + i, low[..., 1] + j
+            w = (part[..., 0] if i else 1 - part[..., 0]) * (part[..., 1] if j else 1 - part[..., 1])
+            inside = (x >= 0) & (y >= 0) & (x < img.shape[1]) & (y < img.shape[0])
+            out += np.where(inside, w, 0)[..., None] * img[np.clip(y, 0, img.shape[0] - 1), np.clip(x, 0, img.shape[1] - 1)]
+    return np.minimum(out + 0.5, 255).astype(np.uint8)
+
+
+def model_input(img: np.ndarray, mean, std, size: int = 224) -> np.ndarray:
+    """(3, size, size) floats: short side to ``size`` by the cubic filter, centre cut, normalised per channel."""
+    h, w = img.shape[:2]
+    wide, high = (size, int(size * h / w)) if w <= h else (int(size * w / h), size)
+    r = resize(img, max(wide, size), max(high, size), cubic=True)
+    top, left = int(round((r.shape[0] - size) / 2)), int(round((r.shape[1] - size) / 2))
+    x = r[top : top + size, left : left + size].astype(np.float32) / 255
+    return ((x - np.asarray(mean, np.float32)) / np.asarray(std, np.float32)).transpose(2, 0, 1)

@@ -69,29 +69,46 @@ def name_key(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", s).casefold()), na_action="ignore")
 
 
-#: Ligatures and width forms that caption cleaning spells out.
-LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u0132": "IJ", "\u0133": "ij"}
+#: Latin ligatures and digraphs that caption cleaning spells out.
+LIGATURES = {
+    "\u0132": "IJ", "\u0133": "ij", "\u0149": "\u02bcn", "\u01c4": "D\u017d", "\u01c5": "D\u017e", "\u01c6": "d\u017e", "\u01c7": "LJ", "\u01c8": "Lj", "\u01c9": "lj", "\u01ca": "NJ", "\u01cb": "Nj", "\u01cc": "nj",
+    "\u01f1": "DZ", "\u01f2": "Dz", "\u01f3": "dz", "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "\u017ft", "\ufb06": "st",
+}
 
 
 def repair_mojibake(s: str) -> str:
-    """Undo one reading of UTF-8 as Windows-1252 or Latin-1 in every run of other than ASCII letters, where the result is valid."""
-
-    def fix(m: re.Match) -> str:
-        for wrong in ("cp1252", "latin-1"):
-            try:
-                return m[0].encode(wrong).decode("utf-8")
-            except UnicodeError:
-                continue
-        return m[0]
-
-    return re.sub(r"[^\x00-\x7f]{2,}", fix, s)
+    """Undo one reading of UTF-8 as Windows-1252 or Latin-1: when every letter is one such byte and the bytes are UTF-8."""
+    raw = bytearray()
+    for ch in s:
+        if ord(ch) < 256:
+            raw.append(ord(ch))
+            continue
+        try:
+            raw += ch.encode("cp1252")
+        except UnicodeEncodeError:
+            return s
+    if raw.isascii():
+        return s
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return s
+
+
+def _plain(ch: str) -> str:
+    """Straight quotes, ligatures spelled out, full- and half-width forms folded."""
+    if "\u2018" <= ch <= "\u201b" or ch == "\u02bc":
+        return "'"
+    if "\u201c" <= ch <= "\u201f":
+        return '"'
+    if "\uff01" <= ch <= "\uffee" or ch == "\u3000":
+        return unicodedata.normalize("NFKC", ch)
+    return LIGATURES.get(ch, ch)
 
 
 def clean_caption(s: str) -> str:
-    """Text as a caption tokenizer reads it: repaired, ligatures spelled out, HTML unescaped twice, blanks collapsed, lower-case."""
-    s = unicodedata.normalize("NFC", repair_mojibake(s))
-    s = "".join(LIGATURES.get(ch, ch) for ch in s)
-    s = "".join(unicodedata.normalize("NFKC", ch) if "\uff01" <= ch <= "\uffee" or ch == "\u3000" else ch for ch in s)
+    """Text as a caption tokenizer reads it: repaired, plain letters, composed, HTML unescaped twice, blanks collapsed, lower-case."""
+    s = unicodedata.normalize("NFC", "".join(map(_plain, repair_mojibake(s))))
     return " ".join(html.unescape(html.unescape(s)).split()).lower()
 
 

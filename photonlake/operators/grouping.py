@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -53,9 +54,12 @@ def duplicate_sets(photos: DataFrame, hash_col: str = "phash") -> DataFrame:
     return some.join(sets, hash_col).select("id", "dup_id")
 
 
-def group_summary(members: DataFrame, keys: list[str]) -> DataFrame:
+def group_summary(members: DataFrame, keys: list[str], list_members: bool = True) -> DataFrame:
     """One row per group: what a page of groups sorts and shows by. Maxima start at 0; times span undated members too,
-    the oldest time leaves them out (0 when all are); pairs are compared left to right."""
+    the oldest time leaves them out (0 when all are); pairs are compared left to right.
+
+    ``list_members`` gathers the ids of a group in one row; leave it off where groups may be huge (the photos carry
+    their group's id anyway)."""
     floor = lambda c: F.greatest(F.lit(0.0), F.max(c))
     best = F.max(F.struct(F.col("overall"), (-F.col("id")).alias("neg"), F.col("camera")))
     focus = F.max(F.struct(F.col("focus_score").alias("a"), F.col("sharpness").alias("b")))
@@ -73,7 +77,7 @@ def group_summary(members: DataFrame, keys: list[str]) -> DataFrame:
         floor("colorfulness").alias("max_colorful"),
         faces.alias("_faces"),
         F.count_if(F.col("source") == SOURCE_MEME).alias("memes"),
-        F.array_sort(F.collect_list("id")).alias("members"),
+        *([F.array_sort(F.collect_list("id")).alias("members")] if list_members else []),
     )
     return (
         out.withColumn("best_id", -F.col("_best.neg"))
@@ -111,7 +115,8 @@ def regroup(photos: DataFrame, burst_gap: float = 3, stack_bits: int = 10, scene
     plain = photos.drop("burst_id", "stack_top", "stack_size", "stacked", "dup_id")
     filled = plain.withColumn("camera_make", F.coalesce("camera_make", F.lit(""))).withColumn("camera_model", F.coalesce("camera_model", F.lit("")))
     keys = ["camera_make", "camera_model"]
-    frames = pack_chunks(scenes_and_bursts(filled, keys, burst_gap, scene_gap), keys, chunk_limit)
+    frames = pack_chunks(scenes_and_bursts(filled, keys, burst_gap, scene_gap), keys, chunk_limit).select(*keys, "scene", "chunk", "id", "burst_id", "overall", "phash")
+    frames = frames.persist(StorageLevel.DISK_ONLY)  # read for the bursts and for the stacks
     stacks = stack_frames(frames.filter("chunk >= 0"), [*keys, "scene", "chunk"], stack_bits).select("id", "stack_top", "stack_size", "stacked")
     sets = duplicate_sets(filled)
     columns = (

@@ -94,3 +94,16 @@ def test_measure_table(spark):
     rows = [(1, 64, 64, bytearray(img.tobytes())), (2, 5, 5, bytearray(b"xx")), (3, None, None, None)]
     got = {r.id: r for r in raster.measure(spark.createDataFrame(rows, "id long, width int, height int, pixels binary")).collect()}
     assert got[1].error is None and got[1].sharpness > 0 and got[2].error and got[3].error
+
+
+def test_faces_line_up_and_inputs_have_their_shape():
+    angle, scale, shift = 0.4, 1.7, np.array([30.0, 12.0])
+    turn = scale * np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+    src = raster.FACE_POINTS @ turn.T + shift
+    m = raster.similarity_transform(src, raster.FACE_POINTS)
+    assert np.allclose(src @ m[:, :2].T + m[:, 2], raster.FACE_POINTS)
+    img = scene(8)
+    same = raster.align_face(img, raster.FACE_POINTS)
+    assert (same == img[:112, :112]).all()
+    x = raster.model_input(img[:, :100], [0.5] * 3, [0.5] * 3)
+    assert x.shape == (3, 224, 224) and -1 <= x.min() <= x.max() <= 1
