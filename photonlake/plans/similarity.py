@@ -189,23 +189,23 @@ def feedback_samples(spark: SparkSession, d: str) -> DataFrame:
     return scoring.feedback_samples(rows).select("id", "photo_id", "y", "c")
 
 
-def _samples(spark: SparkSession, d: str):
-    rows = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label", training.fold_of(F.col("vec_id"), 5, 1).alias("fold")).filter("vec_id < 300").toPandas()
-    x = np.stack(rows["x"])
-    return rows.assign(y=5 + 3 * x[:, 0] - 2 * x[:, 5] + 0.05 * rows["label"], c=1.0, rated=True)[["x", "y", "c", "rated", "fold"]]
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("embedding")
+    y = 5 + 3 * x[0] - 2 * x[5] + 0.05 * F.col("label")
+    return load(spark, d, "embeddings").select(x.cast("array<double>").alias("x"), y.cast("double").alias("y"), F.lit(1.0).alias("c"), training.fold_of(F.col("vec_id"), 5, 1).alias("fold"))
 
 
 @query()
 def ridge_fit(spark: SparkSession, d: str) -> DataFrame:
-    s = _samples(spark, d)
-    w, b = training.fit_ridge(np.stack(s["x"]), s["y"].to_numpy(), s["c"].to_numpy(), np.zeros(64), 5.0, 0.1)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate([*w, b])], "i int, w double")
+    a, r = training.normal_equations(_samples(spark, d))[None]
+    w = training.solve_toward(a, r, np.zeros(len(r) - 1), 5.0, 0.1)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "i int, w double")
 
 
 @query()
 def cv_select(spark: SparkSession, d: str) -> DataFrame:
-    r = training.train(spark, _samples(spark, d), np.zeros(64), 5.0)
-    return spark.createDataFrame([(r.pull, r.rmse, r.prior_rmse, r.mix, r.better)], "pull double, rmse double, prior_rmse double, mix double, better boolean")
+    s = _samples(spark, d)
+    return training.select_pull(s, np.zeros(len(s.first()["x"])), 5.0)
 
 
 @query(

@@ -86,9 +86,9 @@ def marked_screenshots(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.mark_screenshots(p, p.filter("id % 3 = 0").select("path")).select("id", "apple_shot", "source")
 
 
-@query("SELECT url AS path, page_id AS at FROM pages WHERE page_id % 4 = 0 ORDER BY page_id DESC, url LIMIT 20")
+@query("SELECT url AS path, page_id AS at FROM pages ORDER BY page_id DESC, url LIMIT 20")
 def recent_errors(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "pages").filter("page_id % 4 = 0").select(F.col("url").alias("path"), F.col("page_id").alias("at"))
+    e = load(spark, d, "pages").select(F.col("url").alias("path"), F.col("page_id").alias("at"))
     return maintenance.recent(e, 20)
 
 
@@ -98,15 +98,16 @@ def usable_invites(spark: SparkSession, d: str) -> DataFrame:
     return accounts.usable_invites(inv, 852076800).select("token")
 
 
-@query("SELECT o_orderkey + 1 AS id, '/p/' || o_orderkey AS path, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN CAST(o_custkey AS DOUBLE) END AS aesthetic FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT '/p/' || o_orderkey AS path, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1 END AS old_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN CAST(o_custkey AS DOUBLE) END AS aesthetic FROM orders")
 def saved_photos(spark: SparkSession, d: str) -> DataFrame:
-    """Re-saved photos keep their ids, and their rating where the content is the same."""
-    o = load(spark, d, "orders").filter("o_orderkey % 2 = 0")
+    """Photos saved again keep their ids, and their rating where the content is the same; the others are new."""
+    o = load(spark, d, "orders")
     key = F.col("o_orderkey")
     base = [F.concat(F.lit("/p/"), key.cast("string")).alias("path"), F.lit(None).cast("double").alias("overall"), F.lit(0).alias("source"), F.lit(False).alias("apple_shot"), F.lit(0).cast("long").alias("seq")]
-    old = o.select((key + 1).alias("id"), *base, F.col("o_custkey").cast("double").alias("aesthetic"), F.lit("a").alias("fingerprint"))
+    old = o.filter("o_orderkey % 2 = 0").select((key + 1).alias("id"), *base, F.col("o_custkey").cast("double").alias("aesthetic"), F.lit("a").alias("fingerprint"))
     new = o.select(F.lit(None).cast("long").alias("id"), *base, F.lit(None).cast("double").alias("aesthetic"), F.when(key % 3 == 0, "a").otherwise("b").alias("fingerprint"))
-    return maintenance.save_photos(old, new, 1).select("id", "path", "aesthetic")
+    n = F.substring("path", 4, 20).cast("long")
+    return maintenance.save_photos(old, new, 1).select("path", F.when(n % 2 == 0, F.col("id")).alias("old_id"), "aesthetic")
 
 
 @query(

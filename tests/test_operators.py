@@ -301,9 +301,23 @@ def test_normal_equations_add_up(spark):
     rng = np.random.default_rng(2)
     x, y, c = rng.normal(size=(60, 3)), rng.normal(size=60), rng.uniform(0.1, 1, 60)
     df = spark.createDataFrame([(a.tolist(), float(b), float(d)) for a, b, d in zip(x, y, c, strict=True)], "x array<double>, y double, c double").repartition(5)
-    a, r = training.normal_equations(df)
+    a, r = training.normal_equations(df)[None]
     z = np.hstack([x, np.full((60, 1), training.BIAS_FREEDOM)])
     assert np.allclose(a, (z * c[:, None]).T @ z) and np.allclose(r, z.T @ (c * y))
+    w0 = rng.normal(size=3)
+    w, b = training.fit_ridge(x, y, c, w0, 0.3, 0.7)
+    assert np.allclose(training.solve_toward(a, r, w0, 0.3, 0.7), [*w, b])
+
+
+def test_select_pull_equals_small_cross_validation(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 4))
+    pdf = pd.DataFrame({"x": list(x), "y": x @ [1, -1, 0.5, 0] + rng.normal(size=150) * 2, "c": rng.choice([0.5, 1.0], 150), "rated": True, "fold": np.arange(150) % 5})
+    df = spark.createDataFrame([(r.x.tolist(), r.y, r.c, r.fold) for r in pdf.itertuples()], "x array<double>, y double, c double, fold int").repartition(4)
+    got = {r.pull: r for r in training.select_pull(df, np.zeros(4), 0.0).collect()}
+    small = training.train(spark, pdf, np.zeros(4), 0.0)
+    assert [p for p, r in got.items() if r.chosen] == [small.pull]
+    assert abs(math.sqrt(got[small.pull].mse) - small.rmse) < 1e-9
 
 
 def test_training_accepts_taste_and_rejects_noise(spark):
