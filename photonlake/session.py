@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root or root.startswith("<"):
         root = f"file://{tempfile.mkdtemp(prefix='photonlake-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where neither PYTHONPATH nor their folder leads to it: it is zipped once a
+    context and sent along."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    reachable = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    context = spark.sparkContext
+    if root in reachable or context.applicationId in _shipped:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="photonlake-"), "photonlake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "photonlake")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
