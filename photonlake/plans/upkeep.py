@@ -36,24 +36,29 @@ def _faces(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("person_id", F.when(auto, F.col("label").cast("long") + 1).otherwise(F.col("person_id"))).withColumn("person_source", F.when(auto, "auto").otherwise(F.col("person_source"))).drop("label")
 
 
-@query(f"SELECT id, CASE WHEN person_source = 'manual' THEN person_id WHEN id % 4 = 0 THEN 3 END AS person_id, CASE WHEN person_source = 'manual' THEN 'manual' WHEN id % 4 = 0 THEN 'auto' END AS person_source FROM {_FACES}")
+def _named() -> list:
+    """Person and source, unnamed faces as -1 and empty."""
+    return [F.coalesce("person_id", F.lit(-1)).alias("person_id"), F.coalesce("person_source", F.lit("")).alias("person_source")]
+
+
+@query(f"SELECT id, CASE WHEN person_source = 'manual' THEN person_id WHEN id % 4 = 0 THEN 3 ELSE -1 END AS person_id, CASE WHEN person_source = 'manual' THEN 'manual' WHEN id % 4 = 0 THEN 'auto' ELSE '' END AS person_source FROM {_FACES}")
 def applied_labels(spark: SparkSession, d: str) -> DataFrame:
     f = _faces(spark, d)
     new = f.filter("id % 4 = 0").select("id", F.lit(3).cast("long").alias("person_id"), F.lit(0.5).alias("sim"))
-    return people.apply_labels(f, new).select("id", "person_id", "person_source")
+    return people.apply_labels(f, new).select("id", *_named())
 
 
-@query(f"SELECT id, CASE WHEN person_id = 2 THEN 7 ELSE person_id END AS person_id FROM {_FACES}")
+@query(f"SELECT id, CASE WHEN person_id = 2 THEN 7 ELSE coalesce(person_id, -1) END AS person_id FROM {_FACES}")
 def merged_person(spark: SparkSession, d: str) -> DataFrame:
     """Renaming a person to a name that another has moves all faces there."""
     p = spark.createDataFrame([(i, f"Person {i}", 0) for i in range(12)], "id long, name string, created_at long")
-    return people.rename_person(p, _faces(spark, d), 2, "PERSON 7")[1].select("id", "person_id")
+    return people.rename_person(p, _faces(spark, d), 2, "PERSON 7")[1].select("id", _named()[0])
 
 
-@query(f"SELECT id, CASE WHEN id % 9 = 0 THEN 5 ELSE person_id END AS person_id, CASE WHEN id % 9 = 0 THEN 'manual' ELSE person_source END AS person_source FROM {_FACES}")
+@query(f"SELECT id, CASE WHEN id % 9 = 0 THEN 5 ELSE coalesce(person_id, -1) END AS person_id, CASE WHEN id % 9 = 0 THEN 'manual' ELSE coalesce(person_source, '') END AS person_source FROM {_FACES}")
 def assigned_faces(spark: SparkSession, d: str) -> DataFrame:
     f = _faces(spark, d)
-    return people.assign(f, f.filter("id % 9 = 0").select("id"), 5).select("id", "person_id", "person_source")
+    return people.assign(f, f.filter("id % 9 = 0").select("id"), 5).select("id", *_named())
 
 
 @query(f"SELECT photo_id, count(*) FILTER (WHERE s >= 0.6) AS face_count, max(w) AS width_px FROM (SELECT photo_id, 0.6 + (id % 40) / 100.0 AS s, 40.0 + id % 120 AS w FROM {_FACES}) GROUP BY 1")
@@ -98,7 +103,7 @@ def usable_invites(spark: SparkSession, d: str) -> DataFrame:
     return accounts.usable_invites(inv, 852076800).select("token")
 
 
-@query("SELECT '/p/' || o_orderkey AS path, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1 END AS old_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN CAST(o_custkey AS DOUBLE) END AS aesthetic FROM orders")
+@query("SELECT '/p/' || o_orderkey AS path, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1 ELSE -1 END AS old_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN CAST(o_custkey AS DOUBLE) END AS aesthetic FROM orders")
 def saved_photos(spark: SparkSession, d: str) -> DataFrame:
     """Photos saved again keep their ids, and their rating where the content is the same; the others are new."""
     o = load(spark, d, "orders")
@@ -107,7 +112,7 @@ def saved_photos(spark: SparkSession, d: str) -> DataFrame:
     old = o.filter("o_orderkey % 2 = 0").select((key + 1).alias("id"), *base, F.col("o_custkey").cast("double").alias("aesthetic"), F.lit("a").alias("fingerprint"))
     new = o.select(F.lit(None).cast("long").alias("id"), *base, F.lit(None).cast("double").alias("aesthetic"), F.when(key % 3 == 0, "a").otherwise("b").alias("fingerprint"))
     n = F.substring("path", 4, 20).cast("long")
-    return maintenance.save_photos(old, new, 1).select("path", F.when(n % 2 == 0, F.col("id")).alias("old_id"), "aesthetic")
+    return maintenance.save_photos(old, new, 1).select("path", F.when(n % 2 == 0, F.col("id")).otherwise(-1).alias("old_id"), "aesthetic")
 
 
 @query(

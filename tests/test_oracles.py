@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from photonlake.plans import catalogue
@@ -24,7 +25,7 @@ def rows(pdf):
     def text(v):
         if isinstance(v, bool):
             return str(v)
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         return repr(float(v)) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
 
