@@ -34,6 +34,8 @@ from photonlake.llm.common import BASE, BASE_INVERSE, discard, files_for, materi
 LENGTH, GRAM, SPAN = 100, 32, 16
 #: A stretch is (gram start, windows before it) in one number, so that rows in flight stay small.
 ROOM = 10
+#: Text bytes behind each file of a written table: few files, as every file costs a process on local stores.
+BYTES_A_FILE = 192 << 20
 LAST_ID = (1 << 63) - 1
 
 
@@ -163,7 +165,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, spa
 
     def find(batches):
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, 1_000_000):
                 ids = part.column(0).to_numpy()
                 h, c, row, at, lo, hi = anchors(*text_buffers(part.column(1)), length, gram)
                 place = at << 2 * ROOM | (at - lo) << ROOM | (at - hi)
@@ -173,7 +175,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, spa
     at = F.shiftright("place", 2 * ROOM)
     low, high = at - F.shiftright("place", ROOM).bitwiseAND(part), at - F.col("place").bitwiseAND(part)
     n_bytes = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    files = files_for(n_bytes, 32 << 20)
+    files = files_for(n_bytes, BYTES_A_FILE)
     marks = texts.mapInArrow(find, "h long, c long, id long, place long")
     often = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     path = scratch_path(spark, "suffix-grams")
@@ -304,7 +306,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str)
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """Each document without the bytes of strings that start earlier."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
-    spans = materialize(repeated_spans(texts, length, gram, span), "suffix-spans", files_for(texts.count(), 10_000))
+    spans = materialize(repeated_spans(texts, length, gram, span), "suffix-spans", files_for(texts.count(), 50_000))
     release_shuffles(docs.sparkSession)
     return remove_spans(docs, spans, id_col, text_col)
 
