@@ -83,7 +83,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int, m
     ids = learn.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), mark.alias("_mark")).withColumn("_part", F.pmod("_id", F.lit(64)))
     ids = ids.withColumn("_n", F.row_number().over(W.partitionBy("_lang", "_part").orderBy("_mark", "_id"))).filter(F.col("_n") <= sample)
     ids = ids.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_mark", "_id"))).filter(F.col("_n") <= sample)
-    chosen = learn.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(ids.select("_id"), "_id", "left_semi").select("lang", "text")
+    # The last mark of each language's sample, a row a language, stands for the ids: no join has to move texts.
+    cuts = {r["_lang"]: r["cut"] for r in ids.groupBy("_lang").agg(F.max("_mark").alias("cut")).collect()}
+    table = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else F.lit(None).cast("map<string,bigint>")
+    chosen = learn.filter(mark <= F.element_at(table, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     width = 1 << bits
 
     def run(batches):
