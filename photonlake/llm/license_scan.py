@@ -36,7 +36,7 @@ TEMPLATES = {
     "cc-by-sa-4.0": "this work is licensed under a creative commons attribution sharealike 4.0 international license",
     "bsd-3": "redistribution and use in source and binary forms with or without modification are permitted",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
-    "rights-reserved": "copyright all rights reserved",
+    "rights-reserved": "all rights reserved",
 }
 
 

@@ -168,6 +168,20 @@ def test_licenses_match_brute_force(spark):
         assert 0 <= r.score <= 1
 
 
+@pytest.mark.parametrize("line, label", [
+    ("All rights reserved.", "rights-reserved"),
+    ("Copyright 2020 A. Body. All Rights Reserved.", "rights-reserved"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
+    ("Released under the MIT License.", "mit-notice"),
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+])
+def test_every_notice_form_is_found(spark, line, label):
+    docs = spark.createDataFrame([(1, f"Some text.\n{line}\nMore text.")], "doc_id long, text string")
+    row = license_scan.scan_licenses(docs).first()
+    assert label in row.labels.split(",") and row.score == 1.0 and row.blocks == [1]
+
+
 def test_prefix_join_equals_all_pairs():
     rng = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(30)]
