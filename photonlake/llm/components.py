@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels with pointer jumping."""
+"""Connected components of an edge table by alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
@@ -8,25 +8,32 @@ from pyspark.sql import functions as F
 from photonlake.llm.common import files_for, keep, materialize
 
 
-def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def _unsettled(links: DataFrame) -> bool:
+    """Whether some node of (node, low) has several lower nodes, or is both a lower node and above one."""
+    ends = links.select("node", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").limit(1).count() > 0
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node it can reach.
 
-    Each round takes the least label of a node's neighbours and then its label's label, so the rounds grow with the
-    logarithm of the longest chain. Aggregates combine before their shuffle, so a hub costs a row a task; every
-    round is written out, which ends its lineage."""
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    files = files_for(both.count())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "components", files)
-    for _ in range(limit):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        root = labels.select(F.col("node").alias("via"), F.col("label").alias("root"))
-        jumped = hooked.join(root, hooked["label"] == root["via"], "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label"))
-        jumped = materialize(jumped, "components", files)
-        moved = jumped.filter("label <> old").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not moved:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return labels.withColumnRenamed("label", "component")
+    Links run from a node to a lower one. Large-star hangs the higher neighbours of every node on the least node it
+    knows, small-star the lower ones and the node itself; both keep components together, and rounds go on until
+    every component is a star around its least node. They take at most the square of the logarithm of the number of nodes,
+    however long the chains are and however their nodes are numbered, so no number of rounds is set. Aggregates combine
+    before their shuffle, so a hub costs a row a task; every round is written out, which ends its lineage."""
+    pairs = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low"))
+    nodes = keep(pairs.select("node").unionByName(pairs.select(F.col("low").alias("node"))).distinct())
+    files = files_for(2 * nodes.count())
+    links = materialize(pairs.filter("node <> low").distinct(), "components", files)
+    while _unsettled(links):
+        both = links.unionByName(links.select(F.col("low").alias("node"), F.col("node").alias("low")))
+        least = both.groupBy("node").agg(F.least(F.first("node"), F.min("low")).alias("least"))
+        large = links.join(least.withColumnRenamed("node", "via"), links["low"] == F.col("via")).select("node", F.col("least").alias("low")).distinct()
+        large = keep(large)
+        least = large.groupBy("node").agg(F.min("low").alias("least"))
+        small = large.join(least.withColumnRenamed("node", "via"), large["node"] == F.col("via")).filter("low <> least").select(F.col("low").alias("node"), F.col("least").alias("low"))
+        links = materialize(small.unionByName(least.select("node", F.col("least").alias("low"))).distinct(), "components", files)
+        large.unpersist()
+    roots = links.select(F.col("node").alias("via"), "low")
+    return nodes.join(roots, nodes["node"] == roots["via"], "left").select("node", F.coalesce("low", "node").alias("component"))

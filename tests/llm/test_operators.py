@@ -377,6 +377,15 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(100, 141)} == {100} and {got[i] for i in range(7, 30)} == {7} and got[3] == got[2] == 2
 
 
+@pytest.mark.parametrize("order", ["random", "falling"])
+def test_components_of_long_chains_of_any_numbering(spark, order):
+    n = 400
+    path = [0, *range(n - 1, 0, -1)] if order == "falling" else np.random.default_rng(3).permutation(n).tolist()
+    chain = list(zip(path, path[1:], strict=False)) + [(i + 1000, i + 1001) for i in range(50)] + [(2000, 2000)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(n), 0) | dict.fromkeys(range(1000, 1051), 1000) | {2000: 2000}
+
+
 # suffix dedup
 
 
