@@ -1,10 +1,13 @@
 """License scans: an exact set-similarity join between license templates and the text blocks of documents.
 
-Blocks are lines; a template and a block are sets of words. A block is a hit when it holds at least
-``threshold`` of the template's words (containment of the template). Words are ordered by their number of
+Blocks are lines of any length and, for notices wrapped over lines, all runs of neighbouring words of the text that are
+at most twice as long as the longest template; a template and a block are sets of words. A block is a hit when it
+holds at least ``threshold`` of the template's words (containment of the template). A text is matched as one block
+first: only templates that all its words together reach can be reached by a part of it. Words are ordered by their number of
 blocks in the whole corpus, rarest first. By the prefix filter a hit must hold one of the template's first
 n - need + 1 words in that order, by the length filter at least ``need`` words, and by the positional filter
-the words after the first shared one must suffice; what is left is verified by intersection. The counts
+the words after the first shared one, in the template and in the block, must suffice; what is left is verified by
+intersection. The counts
 cover all documents, for the words that templates hold (a fixed few hundred), so nothing unbounded is sent.
 
 Base labels come from whole texts: places where the words of a phrase stand one after another.
@@ -88,10 +91,11 @@ class TemplateIndex:
         """label -> containment, for the templates that the block reaches."""
         found: dict[str, float] = {}
         tried: set[str] = set()
-        for w in sorted(self.prefixes.keys() & block, key=self.order.__getitem__):
-            for label, at in self.prefixes[w]:
+        ranked = sorted(self.order.keys() & block, key=self.order.__getitem__)
+        for i, w in enumerate(ranked):
+            for label, at in self.prefixes.get(w, ()):
                 need, size = self.need[label], len(self.sorted[label])
-                if label in tried or len(block) < need or size - at < need:
+                if label in tried or min(size - at, len(ranked) - i) < need:
                     continue
                 tried.add(label)
                 shared = len(self.sets[label] & block)
@@ -100,6 +104,46 @@ class TemplateIndex:
         return found
 
 
+def run_hits(words: list[str], template: frozenset[str], need: int, width: int) -> list[tuple[int, int, int]]:
+    """(shared words, first, last) of runs of at most ``width`` words that hold ``need`` of the template's: for each
+    last word that the run does not hold before, the shortest run with as many shared words."""
+    at = [i for i, w in enumerate(words) if w in template]
+    held: dict[str, int] = {}
+    found, left = [], 0
+    for last in at:
+        w = words[last]
+        held[w] = held.get(w, 0) + 1
+        while last - at[left] >= width or held[words[at[left]]] > 1:
+            out = words[at[left]]
+            held[out] -= 1
+            if not held[out]:
+                del held[out]
+            left += 1
+        if held[w] == 1 and len(held) >= need:
+            found.append((len(held), at[left], last))
+    return found
+
+
+def scan_text(text: str, index: TemplateIndex, reached: set[str], width: int) -> tuple[dict[str, float], list[int]]:
+    """label -> best containment, and the numbers of the lines that hit, for the templates that the whole text reaches."""
+    labels: dict[str, float] = {}
+    lines = [words_of(line) for line in text.split("\n")]
+    own: dict[str, set[int]] = {label: set() for label in reached}
+    for i, line in enumerate(lines):
+        for label, share in index.match(set(line)).items():
+            own[label].add(i)
+            labels[label] = max(share, labels.get(label, 0.0))
+    hits = set().union(*own.values())
+    words, line_of = [w for line in lines for w in line], [i for i, line in enumerate(lines) for _ in line]
+    for label in reached:
+        for shared, first, last in run_hits(words, index.sets[label], index.need[label], width):
+            labels[label] = max(shared / len(index.sets[label]), labels.get(label, 0.0))
+            touched = range(line_of[first], line_of[last] + 1)
+            if own[label].isdisjoint(touched):
+                hits.update(touched)
+    return labels, sorted(hits)
+
+
 def phrase_places(words: list[str], phrases: dict[tuple[str, ...], str]) -> list[tuple[int, str]]:
     places = []
     last = {p[-1] for p in phrases}
@@ -121,7 +165,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         index = TemplateIndex(templates, counts, threshold)
-        rare = index.prefixes.keys()
+        width = 2 * max((len(words_of(t)) for t in templates.values()), default=0)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -130,15 +174,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = words_of(text)
                     places = phrase_places(words, parts)
-                    labels: dict[str, float] = {}
-                    hits = []
-                    if not rare.isdisjoint(words):
-                        for i, line in enumerate((text or "").split("\n")):
-                            block = set(words_of(line))
-                            if not rare.isdisjoint(block) and (found := index.match(block)):
-                                hits.append(i)
-                                for label, share in found.items():
-                                    labels[label] = max(share, labels.get(label, 0.0))
+                    reached = index.match(set(words)).keys()
+                    labels, hits = scan_text(text, index, reached, width) if reached else ({}, [])
                     base = sorted({label for _, label in places})
                     starts = [p for p, _ in places]
                     score = max([*labels.values(), *([1.0] if base else [])], default=0.0)

@@ -182,6 +182,34 @@ def test_every_notice_form_is_found(spark, line, label):
     assert label in row.labels.split(",") and row.score == 1.0 and row.blocks == [1]
 
 
+def test_wrapped_notices_are_found(spark):
+    notices = {
+        "bsd-3": "Redistribution and use in source and binary forms, with or without\n# modification, are permitted",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0.",
+        "gpl-2": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or",
+        "cc-by-4.0": "This work is licensed under a Creative\nCommons Attribution 4.0\n\nInternational License.",
+        "rights-reserved": "Copyright A. Body. All rights\nreserved.",
+    }
+    far = "All of it.\n" + "Other words stand here. " * 20 + "\nThe rights.\n" + "Other words stand here. " * 20 + "\nIt is reserved."
+    docs = spark.createDataFrame([*enumerate(f"Some text.\n{t}\nMore text." for t in notices.values()), (90, far)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    for i, (label, t) in enumerate(notices.items()):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+        assert set(got[i].blocks) == set(range(1, t.count("\n") + 2))
+    assert got[90].labels == "" and got[90].blocks == []
+
+
+def test_runs_equal_all_windows():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        words = [f"w{i}" for i in rng.integers(0, 12, 40)]
+        template, width = frozenset(f"w{i}" for i in range(6)), int(rng.integers(4, 12))
+        best = max(len(template & set(words[i : i + width])) for i in range(len(words)))
+        got = license_scan.run_hits(words, template, 4, width)
+        assert max((n for n, _, _ in got), default=0) == (best if best >= 4 else 0)
+        assert all(last - first < width and len(template & set(words[first : last + 1])) == n for n, first, last in got)
+
+
 def test_prefix_join_equals_all_pairs():
     rng = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(30)]
