@@ -314,6 +314,17 @@ def test_quality_orders_grades(spark):
     assert all(0 <= b <= a <= 1 for a, b in (r._tails for r in got.values()))
 
 
+def test_quality_rejects_held_out_toxic_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality", "toxic")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0
+    new = labels.filter(held).withColumn("grade", quality.grade_of(labels)).filter("grade is not null").select("doc_id", "grade")
+    scored = quality.classify(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels.filter(~held))
+    rates = {r.grade: r.kept for r in scored.join(new, "doc_id").groupBy("grade").agg(F.avg(F.col("_kept").cast("int")).alias("kept")).collect()}
+    print(rates)
+    assert rates[0] <= 0.02 and rates[1] <= 0.2 and rates[2] >= 0.98
+
+
 def test_quality_with_one_grade_keeps_all(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
