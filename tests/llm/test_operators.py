@@ -509,20 +509,50 @@ def test_hadamard_is_orthonormal():
     assert np.allclose(x @ x.T, y @ y.T) and np.allclose(vector_dedup.hadamard(y), x)
 
 
-def test_recall_of_the_tables():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 64))
+@pytest.mark.parametrize("width, crowd", [(64, 1_000), (64, 1_000_000), (384, 5_000), (768, 5_000)])
+def test_recall_of_the_tables(width, crowd):
+    """Pairs right at the threshold meet in some table, at the shape that is chosen for the width."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, width))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     side = rng.normal(size=x.shape)
     side -= (side * x).sum(1, keepdims=True) * x
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * side
-    per_table, tables = vector_dedup.hash_shape(50_000, 64, 0.9995)
+    per_table, tables = vector_dedup.hash_shape(crowd, width, 0.93, 0.9995)
+    assert per_table == (2 if crowd > 100_000 else 1)
     a, b = (vector_dedup.probe_codes(v, tables, per_table) for v in (x, y))
     met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3))
     assert met.mean() > 0.98
 
 
+def test_vector_chains_are_one_component(spark):
+    """A vector whose only neighbour has a lesser neighbour of its own: 3 - 7 - 5, and long chains of any numbering."""
+    turn = np.deg2rad(15)
+    at = lambda k, plane: [0.0] * (2 * plane) + [float(np.cos(k * turn)), float(np.sin(k * turn))] + [0.0] * (14 - 2 * plane)
+    data = [(3, at(0, 0), 1), (7, at(1, 0), 1), (5, at(2, 0), 1)] + [(int(i), at(k, 3), 1) for k, i in enumerate(np.random.default_rng(1).permutation(12) + 100)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_links(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i] for i in (3, 7, 5)] == [(1, 3), (2, 3), (1, 3)] and {got[i][1] for i in got if i >= 100} == {100}
+
+
+def test_tiles_count_like_one_bucket(spark, monkeypatch):
+    """A dense group that is cut into many tiles, with vectors that share an id."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=16)
+    v = base + rng.normal(size=(150, 16)) * 0.25
+    data = [(i % 140, x.tolist(), 1) for i, x in enumerate(v)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(vector_dedup, "TILE", 16)
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in vector_dedup.near_links(df).collect())
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.arange(150) % 140
+    hit = (u @ u.T >= 0.93) & (ids[:, None] != ids)
+    comp = ids.copy()
+    for _ in range(150):
+        comp = np.array([min([comp[i], *comp[hit[i]], *comp[ids == ids[i]]]) for i in range(150)])
+    assert got == Counter(zip(ids.tolist(), hit.sum(1).tolist(), comp.tolist(), strict=True)) and hit.sum() > 1000
+
+
 # every operator on an empty table
 
 
