@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,14 @@ BLANK_RUN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests)
+    gets one; a cluster must name its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root or root.startswith("<"):
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='photonlake-')}")
         root = context._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
@@ -49,14 +54,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "table", files: int | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors lose nothing.
+#: Shuffle files of a finished SQL execution are dropped at once.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    ``files`` bounds the files of a table that is known to be small for its number of partitions."""
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors lose nothing, and the
+    shuffles behind it go."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_tables: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables and blocks that nothing reads any more."""
+    for df in tables:
+        at = _tables.pop(id(df), None)
+        if at is not None and at[0]() is df:
+            discard(df.sparkSession, at[1])
+        else:
+            df.unpersist()
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -65,28 +93,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def files_for(n_rows: int, rows_a_file: int = 1_000_000, least: int = 6) -> int:
-    """How many files a table of narrow rows is written to."""
-    return max(least, n_rows // rows_a_file)
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through the Hadoop file system that holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of finished, unreferenced jobs."""
-    import gc
-    import time
-
-    for _ in range(2):  # Python's references go first, and the cleaner works behind the collector
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def ranked_bucket(digest: Column, n_buckets: int) -> Column:
     """Bucket of a hex digest that rises with the digest, of n_buckets at most 2^32."""
     lead = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")

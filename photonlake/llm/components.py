@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import files_for, keep, materialize
+from photonlake.llm.common import keep, materialize, release
 
 
 def _unsettled(links: DataFrame) -> bool:
@@ -23,9 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     however long the chains are and however their nodes are numbered, so no number of rounds is set. Aggregates combine
     before their shuffle, so a hub costs a row a task; every round is written out, which ends its lineage."""
     pairs = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low"))
-    nodes = keep(pairs.select("node").unionByName(pairs.select(F.col("low").alias("node"))).distinct())
-    files = files_for(2 * nodes.count())
-    links = materialize(pairs.filter("node <> low").distinct(), "components", files)
+    links = materialize(pairs.filter("node <> low").distinct(), "components")
     while _unsettled(links):
         both = links.unionByName(links.select(F.col("low").alias("node"), F.col("node").alias("low")))
         least = both.groupBy("node").agg(F.least(F.first("node"), F.min("low")).alias("least"))
@@ -33,7 +31,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = keep(large)
         least = large.groupBy("node").agg(F.min("low").alias("least"))
         small = large.join(least.withColumnRenamed("node", "via"), large["node"] == F.col("via")).filter("low <> least").select(F.col("low").alias("node"), F.col("least").alias("low"))
-        links = materialize(small.unionByName(least.select("node", F.col("least").alias("low"))).distinct(), "components", files)
-        large.unpersist()
-    roots = links.select(F.col("node").alias("via"), "low")
-    return nodes.join(roots, nodes["node"] == roots["via"], "left").select("node", F.coalesce("low", "node").alias("component"))
+        after = materialize(small.unionByName(least.select("node", F.col("least").alias("low"))).distinct(), "components")
+        release(links, large)
+        links = after
+    # Stars: a root stands above its nodes, and nodes linked only to themselves above none.
+    named = links.unionByName(links.select(F.col("low").alias("node"), "low")).unionByName(pairs.filter("node = low"))
+    return named.groupBy("node").agg(F.min("low").alias("component"))

@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import BASE, files_for, keep, materialize, mix64, powers, span_hashes, text_buffers, text_slices, word_spans
+from photonlake.llm.common import BASE, keep, materialize, mix64, powers, span_hashes, text_buffers, text_slices, word_spans
 from photonlake.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -121,21 +121,21 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, per_band: int) -> DataFrame:
-    """id, k1, k2 (hash of the words), bands (none without words)."""
+    """id, text_hash, k1, k2 (hash of the words), bands (none without words)."""
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, 1):
-                raw, offsets = text_buffers(part.column(1))
+            for part in text_slices(batch, 2):
+                raw, offsets = text_buffers(part.column(2))
                 rows, hashes, whole, n_words = shingles(raw, offsets)
                 cells = unit_cells(*multiset(rows, hashes))
                 sign = dart_signatures(part.num_rows, *cells, bands * per_band)
                 none = n_words == 0
                 keys = [pa.array(np.ascontiguousarray(whole[:, i]).view(np.int64)) for i in (0, 1)]
                 found = np.where(none, 0, bands)
-                yield pa.RecordBatch.from_arrays([part.column(0), *keys, _lists(band_hashes(sign, bands, per_band)[~none].reshape(-1).view(np.int64), found)], ["id", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *keys, _lists(band_hashes(sign, bands, per_band)[~none].reshape(-1).view(np.int64), found)], ["id", "text_hash", "k1", "k2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, k1 long, k2 long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("text_hash"), text_col).mapInArrow(run, "id long, text_hash long, k1 long, k2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -206,34 +206,46 @@ def cross_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
     """docs' rows as (id, class_id, kept): class_id is the smallest id of the class."""
+    return _classed(docs, id_col, text_col, threshold, bands, per_band)[0]
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, per_band: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``classes``, and (id, text_hash) of the one row of each class that ``dedup`` keeps."""
     rows = keep(signed(docs, id_col, text_col, bands, per_band))
     # One representative per word sequence: the smallest id. Copies combine before the shuffle.
-    same = keep(rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
-    files = files_for(same.count() * bands)
+    pick = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("pick")
+    same = keep(rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), pick))
     reps = same.filter("rep is not null").select("rep", F.posexplode("bands").alias("band", "hash"))
     hubs = reps.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # All pairs that share a bucket share its hub; the hub is a member of its own group.
-    members = materialize(reps.join(hubs, ["band", "hash"]).select("hub", "rep").distinct(), "minhash-members", files)
+    members = materialize(reps.join(hubs, ["band", "hash"]).select("hub", "rep").distinct(), "minhash-members")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(members.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
     sets = keep(shingle_sets(texts.groupBy("id").agg(F.first(text_col).alias(text_col))))
     star = members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    edges = materialize(verify(star, sets, threshold), "minhash-links", files)
+    edges = materialize(verify(star, sets, threshold), "minhash-links")
     comp = connected_components(edges)
     named = members.join(comp, members["rep"] == comp["node"], "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = named.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("hub")
-    groups = materialize(named.join(mixed, "hub", "left_semi"), "minhash-mixed", files)
-    more = materialize(cross_links(groups, sets, threshold), "minhash-links", files)
+    groups = materialize(named.join(mixed, "hub", "left_semi"), "minhash-mixed")
+    more = materialize(cross_links(groups, sets, threshold), "minhash-links")
     comp = connected_components(edges.unionByName(more))
-    named = same.join(comp, same["rep"] == comp["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
-    out = rows.join(named, ["k1", "k2"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
+    named = same.join(comp, same["rep"] == comp["node"], "left").select("k1", "k2", "rep", "pick", F.coalesce("component", "rep").alias("class_id"))
+    heads = named.filter("rep is null or rep = class_id").select("pick.id", "pick.text_hash")
+    out = rows.join(named.drop("pick", "rep"), ["k1", "k2"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True))), heads
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents that another of their class stands for; rows that repeat a kept one go too."""
-    found = classes(docs, id_col, text_col, **options).filter("not kept").select(F.col("id").alias(id_col)).distinct()
-    left = docs.join(found, id_col, "left_anti")
-    return left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.filter(F.col(id_col).isNull()))
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+    """One row of docs for each class: of the rows with the class's id and words, the one with the least text hash; rows
+    equal to it go. Texts without an id are classed by equal words, and one of each stays."""
+    heads = _classed(docs, id_col, text_col, threshold, bands, per_band)[1].withColumnsRenamed({"id": "_head", "text_hash": "_hash_"})
+    hashed = docs.withColumn("_hash", text_hash(text_col))
+    left = hashed.join(heads, F.col(id_col).cast("long").eqNullSafe(F.col("_head")) & (F.col("_hash") == F.col("_hash_")), "left_semi")
+    return left.dropDuplicates([id_col, "_hash"]).drop("_hash")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

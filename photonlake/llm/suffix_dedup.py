@@ -3,8 +3,9 @@
 Repeated strings are found by column-wise construction over many short strings at once: round by round one symbol is
 put before every string of a collection, the Burrows-Wheeler segment of the round is the next column's symbols in
 suffix order, sorting it stably gives the new order, and common prefixes are updated by range minima between
-neighbours. Columns are written to an external file and read back one after another; order and prefixes are the only
-state. Neighbours with a common prefix of at least ``length`` are equal strings.
+neighbours; order and prefixes are the only state. Neighbours with a common prefix of at least ``length`` are equal
+strings. The external files are the sorted ones of the shuffle that deals strings out: a task streams them, one
+collection of bounded size after another, and holds only that one.
 
 Running that over whole documents would take a round per byte of the longest one on a single collection. So the
 collection is dealt out first, without losing a string: every window of ``length`` bytes names the ``GRAM``-byte gram in it
@@ -14,28 +15,25 @@ stretches around a gram, the first of each are cut into spans of ``SPAN`` window
 that all windows of a span share, and these strings are the collections above. Grams and stretches are compared by
 64 and 128 bits of hash, the windows of collections byte by byte.
 
-Nulls and odd input: a null text is empty; texts below ``length`` bytes keep all; a null doc_id counts as the largest id, all
-of them as one; rows that share a doc_id are one document laid over itself: places at the same offset do not
-remove each other, and all its rows lose the same offsets; an empty table gives an empty result.
+Nulls and odd input: a null text is empty; texts below ``length`` bytes keep all; null doc_ids come after every other
+id; rows equal in doc_id and text are one document and lose the same bytes; different texts that share a doc_id (or have
+none) are documents of their own, one after another by their hash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import BASE, BASE_INVERSE, discard, files_for, materialize, mix64, powers, release_shuffles, scratch_path, text_buffers, text_slices
+from photonlake.llm.common import BASE, BASE_INVERSE, materialize, mix64, powers, release, text_buffers, text_slices
 
 LENGTH, GRAM, SPAN = 100, 32, 16
 #: A stretch is (gram start, windows before it) in one number, so that rows in flight stay small.
 ROOM = 10
-#: Text bytes behind each file of a written table: few files, as every file costs a process on local stores.
-BYTES_A_FILE = 192 << 20
 LAST_ID = (1 << 63) - 1
 
 
@@ -88,16 +86,6 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return grams[gram_at], stretch, row, gram_at - base, first - base, last - base
 
 
-def column_file(columns: np.ndarray):
-    """Write the columns, last first, to an external file and read them back in that order."""
-    with tempfile.TemporaryFile() as f:
-        for j in range(columns.shape[1] - 1, -1, -1):
-            f.write(np.ascontiguousarray(columns[:, j]).tobytes())
-        f.seek(0)
-        for _ in range(columns.shape[1]):
-            yield np.frombuffer(f.read(2 * columns.shape[0]), dtype=np.uint16)
-
-
 def equal_windows(groups: np.ndarray, columns: np.ndarray, length: int, starts: int):
     """Column-wise construction over strings of the rows of ``columns`` (symbol + 1, 0 where a string has none).
 
@@ -105,7 +93,7 @@ def equal_windows(groups: np.ndarray, columns: np.ndarray, length: int, starts:
     order, run): strings of equal run have equal windows of ``length`` symbols from that column on."""
     n, width = columns.shape
     order, common = np.arange(n), np.zeros(n + 1, dtype=np.int32)
-    for j, column in zip(range(width - 1, -1, -1), column_file(columns), strict=True):
+    for j, column in ((j, columns[:, j]) for j in range(width - 1, -1, -1)):
         bwt = column[order].astype(np.int64)
         key = groups[order] << np.int64(9) | bwt
         perm = np.argsort(key, kind="stable")
@@ -119,11 +107,12 @@ def equal_windows(groups: np.ndarray, columns: np.ndarray, length: int, starts:
             yield j, order, np.cumsum(common[:n] < length)
 
 
-def later_windows(key, lead, strings, ids, at, length: int, span: int):
-    """(string, window start) of windows that also start earlier, for strings sorted by key; lead: first column of each."""
+def later_windows(key, lead, strings, docs, at, length: int, span: int):
+    """(string, window start) of windows that also start earlier, for strings sorted by key; lead: first column of each,
+    docs: numbers that rise as the documents do."""
     size = np.array([len(s) for s in strings])
     width = span - 1 + length
-    columns = np.zeros((len(strings), width), dtype=np.uint16)
+    columns = np.zeros((len(strings), width), dtype=np.uint16, order="F")
     flat = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint16) + 1
     row = np.repeat(np.arange(len(strings)), size)
     columns[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + lead[row]] = flat
@@ -131,81 +120,82 @@ def later_windows(key, lead, strings, ids, at, length: int, span: int):
     who, where = [], []
     for j, order, run in equal_windows(groups, columns, length, span):
         start = at[order] + (j - lead[order])
-        rank = np.lexsort((start, ids[order], run))
-        run_, id_, start_, order_ = run[rank], ids[order][rank], start[rank], order[rank]
+        rank = np.lexsort((start, docs[order], run))
+        run_, doc_, start_, order_ = run[rank], docs[order][rank], start[rank], order[rank]
         begin = np.flatnonzero(np.concatenate([[True], run_[1:] != run_[:-1]]))
         of = np.repeat(begin, np.diff(np.append(begin, len(run_))))
-        later = (id_ != id_[of]) | (start_ != start_[of])
+        later = (doc_ != doc_[of]) | (start_ != start_[of])
         who.append(order_[later])
         where.append(start_[later])
     return np.concatenate(who), np.concatenate(where)
 
 
-def spans_of(ids: np.ndarray, starts: np.ndarray, length: int):
-    """Windows as (id, from, to) with runs of successive starts joined."""
-    order = np.lexsort((starts, ids))
-    ids, starts = ids[order], starts[order]
-    new = np.ones(len(ids), dtype=bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1)
+def spans_of(docs: np.ndarray, starts: np.ndarray, length: int):
+    """Windows as (document, from, to) with runs of successive starts joined."""
+    order = np.lexsort((starts, docs))
+    docs, starts = docs[order], starts[order]
+    new = np.ones(len(docs), dtype=bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(ids)) - 1
-    return ids[first], starts[first], starts[last] + length
+    last = np.append(first[1:], len(docs)) - 1
+    return docs[first], starts[first], starts[last] + length
+
+
+def numbered(ids: np.ndarray, subs: np.ndarray):
+    """Documents (id, sub) as numbers that rise with them, and the (id, sub) of each number."""
+    every, docs = np.unique(np.stack([ids, subs], axis=1), axis=0, return_inverse=True)
+    return docs.reshape(-1), every
+
+
+SPANS = "id long, sub long, lo int, hi int"
 
 
-SPANS = "id long, lo int, hi int"
+def _span_batch(ids, subs, lo, hi) -> pa.RecordBatch:
+    columns = [(ids, pa.int64()), (subs, pa.int64()), (lo, pa.int32()), (hi, pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), k) for c, k in columns], ["id", "sub", "lo", "hi"])
 
 
-def _span_batch(ids, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids), pa.int64()), pa.array(np.asarray(lo), pa.int32()), pa.array(np.asarray(hi), pa.int32())], ["id", "lo", "hi"])
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, id, sub, text): rows equal in id and text are one document; texts that share an id go by their hash."""
+    doc, text = F.col(id_col).cast("long"), F.col(text_col)
+    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("sub"), text.alias("text"))
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, span: int = SPAN) -> DataFrame:
-    """texts (id, text) -> (id, lo, hi): bytes covered by windows that also start earlier; spans may overlap."""
-    spark = texts.sparkSession
+    """texts (id, sub, text) -> (id, sub, lo, hi): bytes covered by windows that also start earlier; spans may overlap."""
 
     def find(batches):
         for batch in batches:
-            for part in text_slices(batch, 1, 1_000_000):
-                ids = part.column(0).to_numpy()
-                h, c, row, at, lo, hi = anchors(*text_buffers(part.column(1)), length, gram)
+            for part in text_slices(batch, 2, 1_000_000):
+                ids, subs = part.column(0).to_numpy(), part.column(1).to_numpy()
+                h, c, row, at, lo, hi = anchors(*text_buffers(part.column(2)), length, gram)
                 place = at << 2 * ROOM | (at - lo) << ROOM | (at - hi)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[row]), pa.array(place)], ["h", "c", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), ids[row], subs[row], place)], ["h", "c", "id", "sub", "place"])
 
     part = (1 << ROOM) - 1
     at = F.shiftright("place", 2 * ROOM)
     low, high = at - F.shiftright("place", ROOM).bitwiseAND(part), at - F.col("place").bitwiseAND(part)
-    n_bytes = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    files = files_for(n_bytes, BYTES_A_FILE)
-    marks = texts.mapInArrow(find, "h long, c long, id long, place long")
+    marks = texts.mapInArrow(find, "h long, c long, id long, sub long, place long")
     often = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    path = scratch_path(spark, "suffix-grams")
-    found = marks.join(often, "h")
-    found.coalesce(files).write.parquet(path)
-    shared = spark.read.schema(found.schema).parquet(path)
-    release_shuffles(spark)
-    firsts = shared.groupBy("h", "c").agg(F.min(F.struct("id", "place")).alias("f"), F.count("*").alias("n"))
-    firsts = materialize(firsts.select("h", "c", "f.*", "n"), "suffix-firsts", files)
-    release_shuffles(spark)
-    copied = firsts.filter("n > 1").select("h", "c", F.col("id").alias("id0"), F.col("place").alias("place0"))
-    later = shared.join(copied, ["h", "c"]).filter("id <> id0 or place <> place0")
-    whole = materialize(later.select("id", low.cast("int").alias("lo"), (high + length).cast("int").alias("hi")), "suffix-whole", files)
-    discard(spark, path)
-    release_shuffles(spark)
+    shared = materialize(marks.join(often, "h"), "suffix-grams")
+    firsts = shared.groupBy("h", "c").agg(F.min(F.struct("id", "sub", "place")).alias("f"), F.count("*").alias("n"))
+    firsts = materialize(firsts.select("h", "c", "f.*", "n"), "suffix-firsts")
+    copied = firsts.filter("n > 1").select("h", "c", F.col("id").alias("id0"), F.col("sub").alias("sub0"), F.col("place").alias("place0"))
+    later = shared.join(copied, ["h", "c"]).filter("id <> id0 or sub <> sub0 or place <> place0")
+    whole = materialize(later.select("id", "sub", low.cast("int").alias("lo"), (high + length).cast("int").alias("hi")), "suffix-whole")
+    release(shared)
     several = firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
-    open_ = firsts.join(several, "h").groupBy("id").agg(F.collect_list(F.struct("h", at.alias("at"), low.alias("lo"), high.alias("hi"))).alias("marks"))
+    open_ = firsts.join(several, "h").groupBy("id", "sub").agg(F.collect_list(F.struct("h", at.alias("at"), low.alias("lo"), high.alias("hi"))).alias("marks"))
 
     def cut(batches):
         for batch in batches:
-            for part in text_slices(batch, 1):
-                raw, offsets = text_buffers(part.column(1))
-                lists = part.column(2)
+            for part in text_slices(batch, 2):
+                raw, offsets = text_buffers(part.column(2))
+                lists = part.column(3)
                 marks_ = lists.flatten()
                 h, at, lo, hi = (marks_.field(k).to_numpy(zero_copy_only=False) for k in ("h", "at", "lo", "hi"))
                 row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                ids, base = part.column(0).to_numpy()[row], offsets[row]
-                # Rows that repeat an id with a shorter text have no such windows.
-                fits = base + hi + length <= offsets[row + 1]
-                h, at, lo, hi, ids, base = (x[fits] for x in (h, at, lo, hi, ids, base))
+                ids, subs, base = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row], offsets[row]
                 if not len(h):
                     continue
                 low, high = (at - hi) // span, (at - lo) // span
@@ -221,41 +211,43 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, spa
                 data = raw.tobytes()
                 strings = pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
                 lead = (first - (top - span + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lead), strings, pa.array(ids[of]), pa.array(first.astype(np.int32))], ["key", "lead", "string", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lead), strings, pa.array(ids[of]), pa.array(subs[of]), pa.array(first.astype(np.int32))], ["key", "lead", "string", "id", "sub", "at"])
 
-    strings = texts.join(open_, "id").select("id", "text", "marks").mapInArrow(cut, "key long, lead int, string binary, id long, at int")
+    strings = texts.join(open_, ["id", "sub"]).select("id", "sub", "text", "marks").mapInArrow(cut, "key long, lead int, string binary, id long, sub long, at int")
 
     def build(batches):
         held: list[pa.Table] = []
 
         def settle(table: pa.Table):
-            key, lead, ids, at = (table.column(c).to_numpy() for c in ("key", "lead", "id", "at"))
+            key, lead, ids, subs, at = (table.column(c).to_numpy() for c in ("key", "lead", "id", "sub", "at"))
             twins = np.zeros(len(key), dtype=bool)
             twins[1:] |= key[1:] == key[:-1]
             twins[:-1] |= key[1:] == key[:-1]
             if twins.any():
                 got = table.column("string").combine_chunks().filter(pa.array(twins)).to_pylist()
                 pick = np.flatnonzero(twins)
-                who, where = later_windows(key[pick], lead[pick].astype(np.int64), got, ids[pick], at[pick].astype(np.int64), length, span)
+                docs, every = numbered(ids[pick], subs[pick])
+                who, where = later_windows(key[pick], lead[pick].astype(np.int64), got, docs, at[pick].astype(np.int64), length, span)
                 if len(who):
-                    yield _span_batch(*spans_of(ids[pick][who], where, length))
+                    doc, lo, hi = spans_of(docs[who], where, length)
+                    yield _span_batch(every[doc, 0], every[doc, 1], lo, hi)
 
         before = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             # Equal strings of a key follow one another, the earliest first: the others are wholly repeated.
-            key, lead, ids, at = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
+            key, lead, ids, subs, at = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
             text = batch.column(2).to_pylist()
             rows = list(zip(key.tolist(), lead.tolist(), text, strict=True))
             same = np.array([r == p for r, p in zip(rows, [before, *rows[:-1]], strict=True)])
             if same.any():
                 head = np.maximum.accumulate(np.where(same, -1, np.arange(len(rows))))
-                lead_id = np.where(head >= 0, ids[head], held[-1].column("id")[-1].as_py() if held else 0)
-                lead_at = np.where(head >= 0, at[head], held[-1].column("at")[-1].as_py() if held else 0)
-                later = same & ((ids != lead_id) | (at != lead_at))
+                last = {c: held[-1].column(c)[-1].as_py() if held else 0 for c in ("id", "sub", "at")}
+                first = {c: np.where(head >= 0, v[head], last[c]) for c, v in (("id", ids), ("sub", subs), ("at", at))}
+                later = same & ((ids != first["id"]) | (subs != first["sub"]) | (at != first["at"]))
                 size = np.array([len(t) for t in text])
-                yield _span_batch(ids[later], at[later], (at + size)[later])
+                yield _span_batch(ids[later], subs[later], at[later], (at + size)[later])
             before = rows[-1]
             held.append(pa.Table.from_batches([batch.filter(pa.array(~same))]))
             held = [t for t in held if t.num_rows] or held[-1:]
@@ -269,14 +261,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, spa
         if held:
             yield from settle(pa.concat_tables(held).combine_chunks())
 
-    dealt = strings.repartition("key").sortWithinPartitions("key", "lead", "string", "id", "at")
-    return whole.unionByName(dealt.mapInArrow(build, SPANS))
+    dealt = strings.repartition("key").sortWithinPartitions("key", "lead", "string", "id", "sub", "at")
+    spans = materialize(whole.unionByName(dealt.mapInArrow(build, SPANS)), "suffix-spans")
+    release(firsts, whole)
+    return spans
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs' rows as (id, n_bytes, n_removed, spans, kept): maximal removed runs and the bytes that stay."""
-    lists = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
+    lists = spans.groupBy("id", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    rows = identified(docs, id_col, text_col)
 
     def run(batches):
         for batch in batches:
@@ -300,15 +294,13 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str)
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.join(lists, "id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.join(lists, ["id", "sub"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """Each document without the bytes of strings that start earlier."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
-    spans = materialize(repeated_spans(texts, length, gram, span), "suffix-spans", files_for(texts.count(), 50_000))
-    release_shuffles(docs.sparkSession)
-    return remove_spans(docs, spans, id_col, text_col)
+    texts = identified(docs, id_col, text_col).drop("doc_id")
+    return remove_spans(docs, repeated_spans(texts, length, gram, span), id_col, text_col)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import files_for, keep, materialize, mix64, powers, BASE
+from photonlake.llm.common import keep, materialize, mix64, powers, BASE
 from photonlake.llm.components import connected_components
 
 #: Vectors a side of a tile, and unrelated vectors that a bucket is meant to hold at most.
@@ -283,7 +283,7 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     parts = tiles.join(coded.drop("at", "label", "width"), ["h1", "h2"]).select(*TILE_KEY, "side", "h1", "h2", "id", "copies", "codes", "x")
     work = TileLinks(threshold, tables, item)
     found = keep(parts.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY).mapInArrow(work.stream, "h1 long, h2 long, id long, links long, peer long"))
-    edges = materialize(found.filter("peer <> id").select(F.col("id").alias("a"), F.col("peer").alias("b")).distinct(), "vector-links", files_for(shape["n"] or 0))
+    edges = materialize(found.filter("peer <> id").select(F.col("id").alias("a"), F.col("peer").alias("b")).distinct(), "vector-links")
     counted = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     comp = connected_components(edges)
     named = same.join(counted, ["h1", "h2"], "left").join(comp, F.col("id") == comp["node"], "left").select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

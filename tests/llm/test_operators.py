@@ -73,6 +73,40 @@ def test_mix_meets_targets_and_repeats_within_bounds(spark):
     assert p.words.sum() == got.taken.sum() and (p.groupby("slot").words.sum() <= 64).all()
 
 
+def test_mix_follows_its_schedule(spark):
+    """Every row's first slot and words, and every slot's source, from a plain walk through the golden-ratio points."""
+    data, docs = unique_ids(spark)
+    block = 64
+    rows, pieces = mixing.mix(docs, block=block)
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in data}
+    sources = sorted({r[3] for r in data}, key=lambda x: (x is None, x or ""))
+    target = {r.id: r.target for r in rows.collect()}
+    take = {s: int(next(target[r[0]] for r in data if r[3] == s)) for s in sources}
+    need = [-(-take[s] // block) for s in sources]
+    edge = np.concatenate([[0], np.cumsum(need)]) * (2.0**40 / sum(need))
+    slots = {s: [] for s in sources}
+    for i in range(sum(need)):
+        k = int(np.searchsorted(np.floor(edge), i * mixing.GOLDEN_STEP % 2**40, side="right")) - 1
+        slots[sources[k]].append(i)
+    for k, s in enumerate(sources):
+        held = len(slots[s])
+        slots[s] = slots[s][: need[k]] + [sum(need) + r * (1 << 20) + k + 1 for r in range(held, need[k])]
+    first, words = {}, Counter()
+    for s in sources:
+        mine = sorted((r[0] for r in data if r[3] == s), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+        at = 0
+        while at < take[s]:
+            for i in mine:
+                n = max(0, min(size[i], take[s] - at))
+                if n:
+                    first.setdefault(i, slots[s][at // block])
+                words[i] += n
+                at += n
+    assert {r.id: (r.first_slot, r.taken) for r in rows.collect()} == {r[0]: (first.get(r[0]), words[r[0]]) for r in data}
+    per_slot = pieces.groupBy("slot").agg(F.sum("words").alias("n")).collect()
+    assert sum(r.n for r in per_slot) == sum(take.values())
+
+
 def test_targets_stop_at_their_cap(spark):
     sizes = spark.createDataFrame([(False, "a", 1000), (False, "b", 10), (False, "c", 10)], "_no_source boolean, _source string, size long")
     got = {r._source: r.target for r in mixing.source_targets(sizes).collect()}
@@ -407,7 +441,16 @@ def test_minhash_dedup_keeps_one_of_each_class(spark):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     classes = weighted_classes([r for r in corpus.rows() if r[0] is not None])
-    assert sorted(i for i in ids if i is not None) == sorted(set(classes.values())) and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == sorted(set(classes.values())) and ids.count(None) == 1
+
+
+def test_minhash_dedup_decides_by_row(spark):
+    """Repeated and null ids: a row goes when its own text is a copy, not because it shares an id with one."""
+    one, two, three = (f"{w} " * 3 + " ".join(f"{w}{i}" for i in range(40)) for w in ("red", "blue", "green"))
+    data = [(3, one), (5, one), (5, two), (5, two), (None, one), (None, three), (None, three), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in data], corpus.SCHEMA)
+    left = Counter((r.doc_id, r.text) for r in minhash.dedup(docs).collect())
+    assert left == Counter([(3, one), (5, two), (None, three), (8, None)])
 
 
 def test_components_of_chains_and_stars(spark):
@@ -459,6 +502,21 @@ def test_suffix_dedup_matches_brute_force(spark, seed):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_spans(data.values(), 100)
 
 
+@pytest.mark.parametrize("other", [7, None, 1])
+def test_suffix_dedup_tells_rows_of_one_id_apart(spark, other):
+    """Texts that share an id, or have none, lose only what stands earlier: (1, A), (x, A), (x, B), (x, B) again."""
+    import random
+
+    rng = random.Random(3)
+    a, b = corpus.prose(rng, 60), corpus.prose(rng, 60)
+    c = b[:150] + corpus.prose(rng, 30)
+    data = [(1, a), (other, a), (other, b), (other, b), (2, c), (other, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in data], corpus.SCHEMA)
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_substrings(docs).collect()}
+    early = other == 1  # then b comes before c
+    assert got == {(1, len(a), 0), (other, len(a), 0 if early else len(a)), (other, len(b), 0 if early else 150), (2, len(c), 150 if early else 0), (other, 0, 0)}
+
+
 def test_column_wise_runs_are_equal_windows():
     rng = np.random.default_rng(0)
     columns = rng.integers(1, 4, (300, 14)).astype(np.uint16)
