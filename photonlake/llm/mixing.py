@@ -10,8 +10,9 @@ Targets: weights 1, 2, 3, repeating over the sources by code point (null last),
 target stops at ``max_epochs`` times its source's size and the excess is reshared by weight.
 
 Nulls and odd input: a null text has no words and is never taken; a null source is a source of its own;
-rows with equal or null doc_id are separate rows; an empty table gives an empty result; helper columns
-start with an underscore, so other columns pass through. DataFrame functions only.
+rows with equal or null doc_id are separate rows, told apart by a 128-bit hash of all their columns (rows equal in all of
+them are interchangeable); an empty table gives an empty result; helper columns start with an underscore, so other
+columns do no harm. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -80,11 +81,21 @@ def schedule(sources: DataFrame, block: int, cells: int = 4096) -> DataFrame:
     return ranked.filter("_rank < _need").select("_idx", "_rank", "slot").unionByName(short)
 
 
+ROW = ["_r1", "_r2"]
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with ``ROW``: 128 bits of hash over all columns."""
+    return docs.withColumns({"_r1": F.xxhash64(*docs.columns), "_r2": F.xxhash64(F.lit(7), *docs.columns)})
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), max_epochs: int = 3, block: int = 1024):
-    """(rows, pieces). rows: id, size, source_size, target, taken per input row. pieces: the mix itself, one row per
-    slot and document part: slot, id, epoch, first word in the document, words."""
+    """(rows, pieces). rows: _r1, _r2, id, size, source_size, target, taken, first_slot per input row (first_slot: where the
+    schedule first takes it, null where it does not). pieces: the mix itself, one row per slot and document part:
+    slot, _r1, _r2, row (number of the row), id, size, epoch, first word in the document, words."""
     identity = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    sizes = docs.select(
+    sizes = with_row_key(docs).select(
+        *ROW,
         F.col(id_col).alias("_id"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(BLANK_RUN)).cast("long"), F.lit(0)).alias("size"),
         F.col(source_col).isNull().alias("_no_source"),
@@ -95,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = keep(source_targets(sizes, weights, max_epochs))
     n = square_buckets(sizes.count())
     placed = with_running_total(
-        sizes.withColumn("_bucket", ranked_bucket(F.col("_digest"), n)), ["_no_source", "_source"], "_bucket", ["_digest", "_id", "size"], "size", extra=sources
+        sizes.withColumn("_bucket", ranked_bucket(F.col("_digest"), n)), ["_no_source", "_source"], "_bucket", ["_digest", "_id", "size", *ROW], "size", extra=sources
     )
     placed = keep(placed.drop("_digest", "_no_source", "_source").withColumn("_start", F.col("run_start").cast("long")).drop("run_start"))
     from_ = F.col("_epoch") * F.col("_total") + F.col("_start")
@@ -108,20 +119,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("_rank", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
     )
     first = F.greatest("_from", F.col("_rank") * block)
+    number = F.struct("_idx", "_bucket", "seq").alias("row")
     pieces = parts.join(schedule(sources, block), ["_idx", "_rank"]).select(
-        "slot", "_idx", "_bucket", "seq", F.col("_id").alias("id"), F.col("_epoch").alias("epoch"), (first - F.col("_from")).alias("first_word"), (F.least("_to", (F.col("_rank") + 1) * block) - first).alias("words")
+        "slot", *ROW, number, F.col("_id").alias("id"), "size", F.col("_epoch").alias("epoch"), (first - F.col("_from")).alias("first_word"), (F.least("_to", (F.col("_rank") + 1) * block) - first).alias("words")
     )
-    columns = {"_idx": "_idx", "_bucket": "_bucket", "seq": "seq"}
-    base = placed.select(*columns, "_id", "size", F.col("_total").alias("source_size"), "target", F.lit(0).cast("long").alias("words"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("_id", docs.schema[id_col].dataType), ("size", "long"), ("source_size", "long"), ("target", "double"))]
-    taken = base.unionByName(pieces.select(*columns, *none, "words")).groupBy("_idx", "_bucket", "seq")
-    rows = taken.agg(F.max("_id").alias("id"), F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("words").cast("long").alias("taken"))
-    return rows.drop("_idx", "_bucket", "seq"), pieces.drop("_idx", "_bucket", "seq")
+    base = placed.select(*ROW, number, F.col("_id").alias("id"), "size", F.col("_total").alias("source_size"), "target", F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("slot"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("_r1", "long"), ("_r2", "long"), ("id", docs.schema[id_col].dataType), ("size", "long"), ("source_size", "long"), ("target", "double"))]
+    taken = base.unionByName(pieces.select(*none, "row", "words", "slot")).groupBy("row")
+    whole = [F.max(c).alias(c) for c in (*ROW, "id", "size", "source_size", "target")]
+    rows = taken.agg(*whole, F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot"))
+    return rows.drop("row"), pieces
+
+
+def copies(pieces: DataFrame) -> DataFrame:
+    """(_r1, _r2, _slot, _row): one row for every copy of a document in the mix, with the slot where it begins. A document
+    that a source's target cuts counts as a copy when at least half of its words are taken."""
+    whole = pieces.groupBy(*ROW, "row", "epoch").agg(F.sum("words").alias("_words"), F.max("size").alias("_size"), F.min("slot").alias("_slot"))
+    return whole.filter("2 * _words >= _size").select(*ROW, "_slot", F.col("row").alias("_row"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs)[0].withColumnRenamed("id", "doc_id")
+    return mix(docs)[0].drop(*ROW).withColumnRenamed("id", "doc_id")
 
 
 ORACLE = r"""
@@ -132,11 +151,21 @@ s2 AS (SELECT *, (every - coalesce(sum(3 * total) OVER (ORDER BY total / w, idx
                  / sum(w) OVER (ORDER BY total / w, idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl,
               row_number() OVER (ORDER BY total / w, idx) AS pos FROM s1),
 s3 AS (SELECT arg_min(lvl, pos) FILTER (WHERE lvl * w <= 3 * total) AS lvl FROM s2),
-s4 AS (SELECT source, total, least((3 * total)::DOUBLE, s3.lvl * w) AS target, floor(least((3 * total)::DOUBLE, s3.lvl * w))::BIGINT AS take FROM s2, s3),
-d AS (SELECT doc_id, size, total, target, take,
+s4 AS (SELECT source, idx, total, least((3 * total)::DOUBLE, s3.lvl * w) AS target, floor(least((3 * total)::DOUBLE, s3.lvl * w))::BIGINT AS take FROM s2, s3),
+d AS (SELECT doc_id, size, idx, total, target, take,
              coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM sized JOIN s4 ON sized.source IS NOT DISTINCT FROM s4.source)
+need AS (SELECT DISTINCT idx, ((take + 1023) // 1024)::BIGINT AS need FROM (SELECT s2.idx, floor(least((3 * s2.total)::DOUBLE, s3.lvl * s2.w))::BIGINT AS take FROM s2, s3) WHERE take > 0),
+edge AS (SELECT *, sum(need) OVER (ORDER BY idx)::BIGINT AS upto, sum(need) OVER ()::BIGINT AS n FROM need),
+cut AS (SELECT idx, need, n, floor((upto - need) * (1099511627776::DOUBLE / n))::BIGINT AS lo, floor(upto * (1099511627776::DOUBLE / n))::BIGINT AS hi FROM edge),
+slot AS (SELECT i, (i::HUGEINT * 679535556991 % 1099511627776)::BIGINT AS point FROM (SELECT unnest(range(coalesce((SELECT max(n) FROM cut), 0))) AS i)),
+ranked AS (SELECT cut.idx, cut.need, slot.i AS slot, row_number() OVER (PARTITION BY cut.idx ORDER BY slot.i) - 1 AS r FROM slot JOIN cut ON point >= lo AND point < hi),
+plan AS (SELECT idx, r, slot FROM ranked WHERE r < need
+         UNION ALL SELECT c.idx, g.r, c.n + g.r * 1048576 + c.idx FROM cut c, (SELECT unnest(range((SELECT max(need) FROM cut))) AS r) g
+         WHERE g.r < c.need AND g.r >= (SELECT count(*) FROM ranked x WHERE x.idx = c.idx)),
+f AS (SELECT d.*, CASE WHEN size > 0 AND start < take THEN start // 1024 END AS r FROM d)
 SELECT doc_id, size, total AS source_size, target,
-       CASE WHEN total = 0 THEN 0 ELSE (take // total) * size + greatest(0, least(size, take % total - start)) END::BIGINT AS taken
-FROM d
+       CASE WHEN total = 0 THEN 0 ELSE (take // total) * size + greatest(0, least(size, take % total - start)) END::BIGINT AS taken,
+       p.slot::BIGINT AS first_slot
+FROM f LEFT JOIN plan p ON p.idx = f.idx AND p.r = f.r
 """

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from photonlake.llm import language_id, license_scan, line_dedup, media, minhash, mixing, packing, quality, suffix_dedup, vector_dedup
+from photonlake.llm import language_id, license_scan, line_dedup, media, minhash, mixing, packing, pipeline, quality, suffix_dedup, vector_dedup
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_language_id": language_id.op3_language_id,
