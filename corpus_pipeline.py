@@ -1,71 +1,5 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+"""The corpus pipeline of the training-data operators: STAGES, ORACLE_SQL and run(spark, sf_dir); see photonlake/llm/pipeline.py."""
 
-Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
-Null texts and ids, repeated rows and empty tables are treated as the operators' docstrings say; a stage never fails
-on them. Columns beyond those of documents are dropped by the first stage.
-"""
+from photonlake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from photonlake.llm import line_dedup, minhash, mixing, packing, quality
-from photonlake.llm.common import materialize
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier rejects go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs.select(*COLUMNS), labels).filter("_kept").select(*COLUMNS)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from all documents but the first; texts and lengths follow. Emptied documents stay as rows."""
-    rows = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    changed = F.col("_n_dropped") > 0
-    text = F.when(changed, F.col("_kept")).otherwise(F.col("text"))
-    length = F.when(changed, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return rows.select("doc_id", text.alias("text"), "lang", "source", length.alias("n_chars"))
-
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return minhash.dedup(docs.select(*COLUMNS))
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, in whole texts: the words taken over its size, to the nearest."""
-    docs = docs.select(*COLUMNS)
-    rows, _ = mixing.mix(docs)
-    copies = rows.filter("size > 0").select(F.col("id").alias("doc_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"))
-    # Rows that share an id differ by at most the boundary document's part; the id takes the largest.
-    copies = copies.groupBy("doc_id").agg(F.max("_copies").alias("_copies")).filter("_copies > 0")
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in COLUMNS])
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences; repeated documents are packed as often as they come."""
-    return packing.pack(docs, packing.default_tokenizer())
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("line_dedup", line_stage),
-    ("near_dedup", near_stage),
-    ("source_mixing", mixing_stage),
-    ("packing", packing_stage),
-]
-
-#: SQL expresses neither the classifier nor MinHash; tests hold each stage against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
