@@ -99,6 +99,14 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lowered(text: Column) -> Column:
+    """A-Z lowered and nothing else (for pure ASCII texts ``lower`` is the same and cheaper)."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def ranked_bucket(digest: Column, n_buckets: int) -> Column:
     """Bucket of a hex digest that rises with the digest, of n_buckets at most 2^32."""
     lead = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")

@@ -2,8 +2,10 @@
 
 A line's key is the line without blanks at its ends, A-Z lower-cased. Keys of at least ``min_chars``
 code points that at least two documents hold lose all their lines except in the smallest doc_id.
-A run is a Parquet table (h1, h2, owner) whose files are sorted by the 128-bit key hash. Batches
-come in ascending doc_id order, so a key that an earlier run holds belongs to an earlier document.
+A run is a table (h1, h2, owner) bucketed by the 128-bit key hash as Spark's shuffles deal it out, each bucket one sorted
+file. So a batch's keys, combined and dealt out once, merge with every run as it lies: no run is shuffled or sorted again.
+Batches come in ascending doc_id order, so a key that an earlier run holds belongs to an earlier document.
+Lines go by their number in the document, and what stays is picked by number, so a long text costs in proportion.
 
 Nulls and odd input: a null text is one empty line; a null doc_id counts as the largest id, all null
 ids as one document; rows that repeat a doc_id are one document for ownership and are all returned;
@@ -13,12 +15,13 @@ Main path: DataFrame functions only.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import BLANKS, keep, scratch_path
+from photonlake.llm.common import BLANKS, ascii_lowered, keep, scratch_path
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null doc_id: it comes after every other id.
 LAST_ID = (1 << 63) - 1
 
@@ -28,9 +31,8 @@ def split_lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """Blanks stripped; A-Z lowered (for pure ASCII lines ``lower`` is the same and cheaper)."""
-    bare = F.trim(line, F.lit(BLANKS))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+    """Blanks stripped; A-Z lowered."""
+    return ascii_lowered(F.trim(line, F.lit(BLANKS)))
 
 
 def key_hash(line: Column, min_chars: int) -> Column:
@@ -45,52 +47,90 @@ def key_hash(line: Column, min_chars: int) -> Column:
 class RunStore:
     """Levelled sorted runs: a level that holds ``fanout`` runs is merged into one run of the next level."""
 
-    MIN_FILES, KEYS_A_FILE = 6, 1_000_000
+    #: Lets Spark rely on the order inside a bucket of one file.
+    SCANS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
-
-    def runs(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*paths) if paths else None
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name).select("h1", "h2", "owner") for level in self.levels for name in level]
+
+    @contextlib.contextmanager
+    def _sorted_scans(self):
+        before = {k: self.spark.conf.get(k) for k in self.SCANS}
+        try:
+            for k, v in self.SCANS.items():
+                self.spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
     def _write(self, keys: DataFrame) -> str:
+        """keys lie dealt by (h1, h2), so every bucket is one file."""
         path = scratch_path(self.spark, "line-run")
-        files = max(self.MIN_FILES, keys.count() // self.KEYS_A_FILE)
-        keys.select("h1", "h2", "owner").repartitionByRange("h1", "h2").coalesce(files).sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
+        name = "line_run_" + path.rsplit("-", 1)[1]
+        keys.select("h1", "h2", "owner").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        return name
 
-    def add(self, pairs: DataFrame) -> DataFrame:
-        """Take a batch of (doc, h1, h2); return the (doc, h1, h2) whose lines go, and keep the batch's new keys as a run."""
+    def marked(self, pairs: DataFrame) -> DataFrame:
+        """(h1, h2, first, last, owner) of a batch's keys: owner is that of the run that holds the key, if one does."""
         keys = pairs.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        seen = self.runs()
-        if seen is not None:
-            keys = keys.join(seen, ["h1", "h2"], "left")
-        else:
-            keys = keys.withColumn("owner", F.lit(None).cast("long"))
-        keys = keep(keys)
-        self.levels[0].append(self._write(keys.filter("owner is null").select("h1", "h2", F.col("first").alias("owner"))))
-        self.compact()
+        owners = []
+        for i, run in enumerate(self.runs()):
+            keys = keys.join(run.withColumnRenamed("owner", f"owner{i}").hint("merge"), ["h1", "h2"], "left")
+            owners.append(f"owner{i}")
+        return keys.select("h1", "h2", "first", "last", F.coalesce(F.lit(None).cast("long"), *owners).alias("owner"))
+
+    def add(self, pairs: DataFrame) -> DataFrame:
+        """Take a batch of (doc, h1, h2, ...); return those of its rows whose lines go, and keep its new keys as a run."""
+        with self._sorted_scans():
+            keys = keep(self.marked(pairs))
+            self.levels[0].append(self._write(keys.filter("owner is null").select("h1", "h2", F.col("first").alias("owner"))))
+            self.compact()
         repeated = keys.filter("owner is not null or last > first").select("h1", "h2", F.coalesce("owner", "first").alias("owner"))
-        return pairs.join(repeated, ["h1", "h2"]).filter(F.col("doc") != F.col("owner")).select("doc", "h1", "h2")
+        return pairs.join(repeated, ["h1", "h2"]).filter(F.col("doc") != F.col("owner"))
 
     def compact(self) -> None:
+        """Runs are merged bucket by bucket: no key is in two of them, so a full merge join is their union in order."""
         for depth, level in enumerate(self.levels):
             if len(level) >= self.fanout:
-                merged = self._write(self.spark.read.schema("h1 long, h2 long, owner long").parquet(*level))
+                merged = level[0]
+                for name in level[1:]:
+                    both = self.spark.table(merged).join(self.spark.table(name).withColumnRenamed("owner", "_owner").hint("merge"), ["h1", "h2"], "full")
+                    merged = self._write(both.select("h1", "h2", F.coalesce("owner", "_owner").alias("owner")))
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[depth + 1].append(merged)
                 self.levels[depth] = []
+                self._drop(level)
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
 
-def dropped_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, n_batches: int) -> DataFrame:
-    """(doc, keys): for each document the hashes of the lines that it loses."""
-    hashes = F.array_distinct(F.array_compact(F.transform(split_lines(F.col(text_col)), lambda x: key_hash(x, min_chars))))
-    pairs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.explode(hashes).alias("k"))
-    pairs = keep(pairs.select("doc", "k.h1", "k.h2"))
+    def close(self) -> None:
+        for level in self.levels:
+            self._drop(level)
+        self.levels = [[]]
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """(doc, sub): the document for ownership, and which of its texts."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_sub")]
+
+
+def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, n_batches: int) -> DataFrame:
+    """(_doc, _sub, _gone): for each document the numbers of the lines that it loses."""
+    doc, sub = row_key(id_col, text_col)
+    # The key is computed before lines are listed: a line's row must not carry its text along.
+    lines = docs.select(doc.alias("doc"), sub.alias("sub"), split_lines(F.col(text_col)).alias("lines")).select("doc", "sub", F.posexplode("lines").alias("at", "line"))
+    pairs = lines.select("doc", "sub", "at", key_hash(F.col("line"), min_chars).alias("k")).filter("k is not null")
+    pairs = keep(pairs.select("doc", "sub", "at", "k.h1", "k.h2"))
     cuts = [i / n_batches for i in range(1, n_batches)]
-    edges = pairs.select(F.percentile_approx("doc", F.array(*map(F.lit, cuts)), 1000).alias("e")).first()["e"] if cuts else None
+    edges = pairs.select(F.percentile_approx("doc", F.array(*map(F.lit, cuts)), max(1000, 100 * n_batches)).alias("e")).first()["e"] if cuts else None
     edges = sorted(set(edges or []))
     store, drops = RunStore(docs.sparkSession), []
     for i in range(len(edges) + 1):
@@ -99,28 +139,27 @@ def dropped_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, n_
             batch = batch.filter(F.col("doc") > edges[i - 1])
         if i < len(edges):
             batch = batch.filter(F.col("doc") <= edges[i])
-        drops.append(keep(store.add(batch)))
+        drops.append(store.add(batch).select("doc", "sub", "at"))
     out = drops[0]
     for more in drops[1:]:
         out = out.unionByName(more)
-    return out.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
+    # Rows equal in id and text name each of their lines more than once.
+    return out.groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_set("at").alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, n_batches: int = 3) -> DataFrame:
     """docs with ``_n_lines``, ``_n_dropped`` and ``_kept`` (the text that stays)."""
-    drops = dropped_keys(docs, id_col, text_col, min_chars, n_batches).withColumnRenamed("doc", "_doc").withColumnRenamed("keys", "_keys")
-    rows = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).join(drops, "_doc", "left")
-    lines = split_lines(F.col(text_col))
-    rows = rows.withColumn("_lines", lines)
-    kept = F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_keys"), key_hash(x, min_chars)), F.lit(False)))
-    )
+    drops = dropped_lines(docs, id_col, text_col, min_chars, n_batches)
+    rows = docs.select("*", *row_key(id_col, text_col)).join(drops, ["_doc", "_sub"], "left")
+    rows = rows.withColumn("_lines", split_lines(F.col(text_col)))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    left = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(numbers, lambda i: F.get(F.col("_lines"), i)))
     return (
-        rows.withColumn("_left", kept)
+        rows.withColumn("_left", left)
         .withColumn("_n_lines", F.size("_lines").cast("long"))
         .withColumn("_n_dropped", (F.size("_lines") - F.size("_left")).cast("long"))
         .withColumn("_kept", F.array_join("_left", "\n"))
-        .drop("_doc", "_keys", "_lines", "_left")
+        .drop("_doc", "_sub", "_gone", "_lines", "_left")
     )
 
 

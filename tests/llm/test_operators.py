@@ -52,7 +52,42 @@ def test_line_store_compacts_levels(spark):
     for i in range(4):
         store.add(spark.createDataFrame([(i, 1, 1), (i, 10 + i, 1)], "doc long, h1 long, h2 long"))
     assert [len(x) for x in store.levels] == [0, 0, 1]
-    assert sorted((r.h1, r.owner) for r in store.runs().collect()) == [(1, 0), (10, 0), (11, 1), (12, 2), (13, 3)]
+    assert sorted((r.h1, r.owner) for run in store.runs() for r in run.collect()) == [(1, 0), (10, 0), (11, 1), (12, 2), (13, 3)]
+    store.close()
+
+
+def test_line_runs_are_merged_as_they_lie(spark):
+    """No exchange and no sort above the scan of a run."""
+    store = line_dedup.RunStore(spark)
+    batch = spark.createDataFrame([(i, i % 3, i) for i in range(30)], "doc long, h1 long, h2 long")
+    store.add(batch)
+    with store._sorted_scans():
+        plan = store.marked(batch)._jdf.queryExecution().executedPlan().toString().split("\n")
+    scan = next(i for i, x in enumerate(plan) if "FileScan" in x and "Bucketed: true" in x)
+    above = []
+    depth = len(plan[scan])
+    for x in reversed(plan[: scan + 1]):
+        at = next(k for k, c in enumerate(x) if c.isalpha())
+        if at < depth:
+            above.append(x)
+            depth = at
+        if "SortMergeJoin" in x and at <= depth:
+            break
+    assert "SortMergeJoin" in above[-1] and not any("Exchange" in x or "Sort [" in x for x in above), "\n".join(plan)
+    store.close()
+
+
+def test_repeated_lines_of_long_texts_cost_in_proportion(spark):
+    import time
+
+    text = "\n".join(f"line {i} of a very long document" for i in range(100_000))
+    same = "\n".join(["one and the same line"] * 100_000)
+    data = [(1, text), (2, text), (3, same), (4, same), (None, text), (None, "line 7 of a very long document\nnew words")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in data], corpus.SCHEMA)
+    start = time.time()
+    got = sorted((r.doc_id or 0, r._n_lines, r._n_dropped) for r in line_dedup.dedup_lines(docs).select("doc_id", "_n_lines", "_n_dropped").collect())
+    assert got == [(0, 2, 1), (0, 100_000, 100_000), (1, 100_000, 0), (2, 100_000, 100_000), (3, 100_000, 0), (4, 100_000, 100_000)]
+    assert time.time() - start < 60
 
 
 # mixing
@@ -245,15 +280,55 @@ def test_runs_equal_all_windows():
 
 
 def test_prefix_join_equals_all_pairs():
+    """Every filter prunes, and none loses a template."""
     rng = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(30)]
     templates = {f"t{k}": " ".join(rng.choice(vocabulary, rng.integers(2, 9), replace=False)) for k in range(12)}
     counts = {w: int(rng.integers(0, 50)) for w in vocabulary}
     index = license_scan.TemplateIndex(templates, counts, 0.7)
+    tested = Counter()
     for _ in range(300):
         block = set(rng.choice(vocabulary, rng.integers(0, 20), replace=False))
-        expected = {k: len(s & block) / len(s) for k, s in license_scan.template_sets(templates).items() if len(s & block) >= 0.7 * len(s) - 1e-9}
+        sets = license_scan.template_sets(templates)
+        expected = {k: len(s & block) / len(s) for k, s in sets.items() if len(s & block) >= 0.7 * len(s) - 1e-9}
         assert index.match(block) == expected
+        by_prefix = [k for k in sets if set(index.prefix(k)) & block]
+        tested.update(pairs=len(sets), prefix=len(by_prefix), length=len(index.candidates(block, positional=False)), positional=len(index.candidates(block)), hits=len(expected))
+        assert set(expected) <= set(index.candidates(block)) <= set(index.candidates(block, positional=False)) <= set(by_prefix)
+    assert tested["pairs"] > tested["prefix"] > tested["length"] > tested["positional"] > tested["hits"]
+
+
+def test_license_texts_match_all_windows(spark):
+    """Whole and damaged license texts, wrapped at any column among other words, against every window of the text."""
+    import random
+
+    rng = random.Random(11)
+    texts = []
+    for label, template in license_scan.TEMPLATES.items():
+        for share in (1.0, 0.9, 0.75, 0.5):
+            words = [w for w in template.split() if rng.random() < share]
+            words = corpus.prose(rng, 30).split() + words + corpus.prose(rng, 30).split()
+            step = rng.randint(4, 12)
+            texts.append("\n".join(("# " if rng.random() < 0.5 else "") + " ".join(words[i : i + step]) for i in range(0, len(words), step)))
+    texts += [corpus.prose(rng, 200), None, "the of and " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    sets = license_scan.template_sets(license_scan.TEMPLATES)
+    found = 0
+    for i, t in enumerate(texts):
+        words = license_scan.words_of(t)
+        best = {}
+        for label, s in sets.items():
+            width = 2 * len(license_scan.words_of(license_scan.TEMPLATES[label])) + license_scan.SLACK
+            blocks = [set(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] + [set(license_scan.words_of(x)) for x in (t or "").split("\n")]
+            share = max(len(s & b) for b in blocks) / len(s)
+            if share >= 0.8 - 1e-9:
+                best[label] = share
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == set(best) | base, t
+        assert abs(got[i].score - max([*best.values(), 1.0 if base else 0.0], default=0)) < 1e-9
+        found += len(best)
+    assert found > 2 * len(sets)
 
 
 # media
