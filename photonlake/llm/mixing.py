@@ -154,7 +154,7 @@ s3 AS (SELECT arg_min(lvl, pos) FILTER (WHERE lvl * w <= 3 * total) AS lvl FROM
 s4 AS (SELECT source, idx, total, least((3 * total)::DOUBLE, s3.lvl * w) AS target, floor(least((3 * total)::DOUBLE, s3.lvl * w))::BIGINT AS take FROM s2, s3),
 d AS (SELECT doc_id, size, idx, total, target, take,
              coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-      FROM sized JOIN s4 ON sized.source IS NOT DISTINCT FROM s4.source)
+      FROM sized JOIN s4 ON sized.source IS NOT DISTINCT FROM s4.source),
 need AS (SELECT DISTINCT idx, ((take + 1023) // 1024)::BIGINT AS need FROM (SELECT s2.idx, floor(least((3 * s2.total)::DOUBLE, s3.lvl * s2.w))::BIGINT AS take FROM s2, s3) WHERE take > 0),
 edge AS (SELECT *, sum(need) OVER (ORDER BY idx)::BIGINT AS upto, sum(need) OVER ()::BIGINT AS n FROM need),
 cut AS (SELECT idx, need, n, floor((upto - need) * (1099511627776::DOUBLE / n))::BIGINT AS lo, floor(upto * (1099511627776::DOUBLE / n))::BIGINT AS hi FROM edge),
