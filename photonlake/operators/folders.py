@@ -51,14 +51,16 @@ def merge_folders(folders: DataFrame, key: str) -> DataFrame:
 
 
 def photos_in_groups(photos: DataFrame, groups: DataFrame) -> DataFrame:
-    """Photos with the groups (grp, dir) that hold them, by exploded ancestors; a photo may be in several groups."""
+    """Photos with the groups (grp, dir) that hold them, by exploded ancestors; a photo may be in several groups, and comes
+    once for each folder of a group that is above it."""
     dirs = groups.select("grp", trim_dir(F.col("dir")).alias("_dir")).distinct()
     opened = photos.withColumn("_dir", F.explode(ancestors(F.col("path"))))
-    return opened.join(dirs, "_dir").drop("_dir").dropDuplicates(["grp", "id"])
+    return opened.join(dirs, "_dir").drop("_dir")
 
 
 def best_per_group(photos: DataFrame, groups: DataFrame, sort: str = "overall") -> DataFrame:
-    """The photo that sorts first in every group; groups without photos have none."""
+    """The photo that sorts first in every group; groups without photos have none. Tasks keep the first of each group
+    before the shuffle, so photos that come twice cost nothing more."""
     best = W.partitionBy("grp").orderBy(*photo_order(sort))
     return photos_in_groups(photos, groups).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 

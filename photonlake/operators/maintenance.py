@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from photonlake.functions.paths import in_app_cache, parent_dir
@@ -30,14 +31,14 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def save_photos(photos: DataFrame, results: DataFrame, first_seq: int) -> DataFrame:
     """Upsert by path: ids and scores stay where the content is the same; every saved row gets a new change number."""
     old = photos.select("path", F.col("id").alias("_id"), F.col("fingerprint").alias("_fp"), F.col("aesthetic").alias("_aes"), F.col("overall").alias("_ovr"), F.col("apple_shot").alias("_shot"))
-    top = photos.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = photos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     joined = dense_number(results.join(old, "path", "left"), ["path"], "_nth")
     fresh = dense_number(joined.filter("_id is null").select("path"), ["path"], "_new")
     joined = joined.join(fresh, "path", "left")
     same = F.col("_fp") == F.col("fingerprint")
     out = joined.withColumns(
         {
-            "id": F.coalesce("_id", F.lit(top) + F.col("_new") + 1).cast("long"),
+            "id": F.coalesce("_id", top + F.col("_new") + 1).cast("long"),
             "seq": (F.lit(first_seq) + F.col("_nth")).cast("long"),
             "aesthetic": F.when(same, F.coalesce("aesthetic", "_aes")).otherwise(F.col("aesthetic")),
             "overall": F.when(same & F.col("aesthetic").isNull() & F.col("_aes").isNotNull(), F.col("_ovr")).otherwise(F.col("overall")),
@@ -160,7 +161,8 @@ def add_feedback(feedback: DataFrame, photos: DataFrame, row: dict) -> DataFrame
     rating, verdict = row.get("rating"), row.get("verdict")
     if rating is None and verdict not in ("agree", "high", "low") or rating is not None and not 0 <= rating <= 10:
         raise ValueError("a rating of 0 to 10 or a verdict is needed")
-    new = feedback.sparkSession.createDataFrame([row], feedback.schema)
+    open_schema = T.StructType([T.StructField(f.name, f.dataType) for f in feedback.schema])
+    new = feedback.sparkSession.createDataFrame([row], open_schema)
     return feedback.unionByName(new.join(photos.select(F.col("id").alias("photo_id")), "photo_id", "left_semi").select(*feedback.columns))
 
 

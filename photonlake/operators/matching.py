@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from photonlake.functions.paths import original_uuid
+from photonlake.functions.paths import library_parts, original_uuid
 from photonlake.functions.vectors import hamming
 from photonlake.operators.grouped import map_whole_groups
 
@@ -70,6 +73,51 @@ def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], at: str, widt
     return a.join(b, [*keys, "_b"]).filter(F.abs(F.col(f"l.{at}") - F.col(f"r.{at}")) <= width).select("l", "r")
 
 
+def hash_segments(n: int, max_bits: int) -> tuple[int, int]:
+    """(segments, bits they may differ by) for pairs of 64-bit hashes within ``max_bits``: of m segments one differs by at
+    most max_bits // m bits. Few long segments prune most, many short ones list fewest codes; the cheaper shape by count."""
+
+    def cost(m: int) -> float:
+        codes = sum(math.comb(64 // m, r) for r in range(max_bits // m + 1))
+        return m * codes * n + m * codes * float(n) ** 2 / 2 ** (64 // m)
+
+    m = min(range(1, max_bits + 2), key=lambda k: cost(k) if max_bits // k <= 3 else math.inf)
+    return m, max_bits // m
+
+
+def near_hashes(frames: DataFrame, keys: list[str], max_bits: int, id_col: str = "id", hash_col: str = "phash") -> DataFrame:
+    """keys, a, b, bits: pairs a < b of equal keys whose 64-bit hashes differ by at most ``max_bits``.
+
+    An equi-join on segments of the hash: one side lists every code within reach of its segments, the other its own, so
+    the pairs tested are those that agree on a stretch and not all of a key. A pair counts at its first such segment."""
+    m, reach = hash_segments(frames.count(), max_bits)
+    edges = [64 * i // m for i in range(m + 1)]
+
+    def segment(h: Column, i: int) -> Column:
+        return F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if edges[i + 1] - edges[i] < 64 else -1))
+
+    def within(i: int) -> list[int]:
+        bits = range(edges[i + 1] - edges[i])
+        return [sum(1 << b for b in some) for r in range(reach + 1) for some in itertools.combinations(bits, r)]
+
+    rows = frames.select(*keys, F.col(id_col).alias("a"), F.col(hash_col).alias("h"))
+    h = F.col("h")
+    own = F.array(*[F.struct(F.lit(i).alias("i"), segment(h, i).alias("code")) for i in range(m)])
+
+    def reachable(i: int) -> Column:
+        return F.transform(F.lit(within(i)).cast("array<long>"), lambda d: F.struct(F.lit(i).alias("i"), segment(h, i).bitwiseXOR(d).alias("code")))
+
+    near = F.concat(*[reachable(i) for i in range(m)])
+    left = rows.select(*keys, "a", "h", F.explode(near).alias("s")).select(*keys, "a", "h", "s.*")
+    right = rows.select(*keys, F.col("a").alias("b"), F.col("h").alias("h2"), F.explode(own).alias("s")).select(*keys, "b", "h2", "s.*")
+    met = left.join(right, [*keys, "i", "code"]).filter("a < b")
+    other = F.col("h2")
+    earlier = F.lit(False)
+    for i in range(m - 1):
+        earlier = earlier | ((F.col("i") > i) & (hamming(segment(h, i), segment(other, i)) <= reach))
+    return met.withColumn("bits", hamming(h, other).cast("int")).filter((F.col("bits") <= max_bits) & ~earlier).select(*keys, "a", "b", "bits")
+
+
 def carry_labels(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
     """(photo_id, old_id, new_id, iou): each old face named by hand and the new face it overlaps most, over ``least``.
     A new face may be hit twice; ties go to the lower id."""
@@ -80,30 +128,38 @@ def carry_labels(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFram
 
 
 def move_labels(pairs: DataFrame, faces: DataFrame, least: float = 0.5) -> DataFrame:
-    """(face_id, person_id): faces of an original that take the names given by hand on its copy (pairs: copy, original).
-    In the copy's face order every face takes the free face it overlaps most, by at least ``least``; the later of equals."""
-    side = lambda which: faces.join(pairs, F.col("photo_id") == F.col(which)).select("copy", "original", "id", "x1", "y1", "x2", "y2", "person_id", "person_source", F.lit(which == "copy").alias("src"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        src = pdf[pdf["src"] & (pdf["person_source"] == "manual") & pdf["person_id"].notna()]
-        dst = pdf[~pdf["src"] & (pdf["person_source"] != "manual")]
-        b = dst[["x1", "y1", "x2", "y2"]].to_numpy()
-        free, out = np.ones(len(dst), dtype=bool), []
-        for f in src.itertuples():
-            if not free.any():
-                break
-            w = np.clip(np.minimum(b[:, 2], f.x2) - np.maximum(b[:, 0], f.x1), 0, None)
-            h = np.clip(np.minimum(b[:, 3], f.y2) - np.maximum(b[:, 1], f.y1), 0, None)
-            union = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) + (f.x2 - f.x1) * (f.y2 - f.y1) - w * h
-            iou = np.where(free & (union > 0), w * h / np.where(union > 0, union, 1), -1.0)
-            at = len(iou) - 1 - int(iou[::-1].argmax())
-            if iou[at] >= least:
-                free[at] = False
-                out.append((int(dst["id"].iloc[at]), int(f.person_id)))
+    """(face_id, person_id): faces of an original that take the names given by hand on its copies (pairs: copy, original).
+    In the order of the copies and their faces every face takes the free face it overlaps most, by at least ``least``; the
+    later of equals."""
+    sides = [faces.join(pairs, F.col("photo_id") == F.col("copy")), faces.join(pairs.select("original").distinct().withColumn("copy", F.lit(None).cast("long")), F.col("photo_id") == F.col("original"))]
+    wanted = [side.select("original", "copy", "id", "x1", "y1", "x2", "y2", "person_id", (F.coalesce("person_source", F.lit("")) == "manual").alias("by_hand")) for side in sides]
+
+    def work(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        corners, person = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["person_id"].to_numpy(float)
+        by_hand, on_copy, ids = pdf["by_hand"].to_numpy(bool), pdf["copy"].notna().to_numpy(), pdf["id"].to_numpy()
+        named = on_copy & by_hand & ~np.isnan(person)
+        out = []
+        for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+            free = np.flatnonzero(~on_copy[a:b] & ~by_hand[a:b]) + a
+            for f in np.flatnonzero(named[a:b]) + a:
+                if not len(free):
+                    break
+                share = box_overlap(corners[free], corners[f])
+                at = len(share) - 1 - int(share[::-1].argmax())
+                if share[at] >= least:
+                    out.append((ids[free[at]], int(person[f])))
+                    free = np.delete(free, at)
         return pd.DataFrame(out, columns=["face_id", "person_id"])
 
-    return side("copy").unionByName(side("original")).groupBy("copy", "original").applyInPandas(work, "face_id long, person_id long")
+    return map_whole_groups(wanted[0].unionByName(wanted[1]), ["original"], [F.col("copy").asc_nulls_last(), F.col("id")], work, "face_id long, person_id long")
+
+
+def box_overlap(boxes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Intersection over union of many boxes with one."""
+    w = np.clip(np.minimum(boxes[:, 2], one[2]) - np.maximum(boxes[:, 0], one[0]), 0, None)
+    h = np.clip(np.minimum(boxes[:, 3], one[3]) - np.maximum(boxes[:, 1], one[1]), 0, None)
+    union = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]) + (one[2] - one[0]) * (one[3] - one[1]) - w * h
+    return np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
 
 
 def keep_boxes(boxes: np.ndarray, scores: np.ndarray, limit: float) -> np.ndarray:
@@ -143,7 +199,7 @@ def classify_files(listing: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def library_originals(copies: DataFrame, originals: DataFrame) -> DataFrame:
-    """(id, original): a library's copy and the original that carries its UUID; the lowest path of several."""
-    a = copies.withColumn("_u", original_uuid(F.col("path"))).filter("_u <> ''")
-    b = originals.withColumn("_u", original_uuid(F.col("path"))).filter("_u <> ''").groupBy("_u").agg(F.min_by("id", "path").alias("original"))
-    return a.join(b, "_u").select("id", "original")
+    """(id, original): a library's copy and the original of that library that carries its UUID; the lowest path of several."""
+    keyed = lambda rows: rows.withColumn("_u", original_uuid(F.col("path"))).withColumn("_lib", library_parts(F.col("path"))["lib"]).filter("_u <> ''")
+    b = keyed(originals).groupBy("_lib", "_u").agg(F.min_by("id", "path").alias("original"))
+    return keyed(copies).join(b, ["_lib", "_u"]).select("id", "original")

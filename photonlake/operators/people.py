@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -24,6 +26,48 @@ def farthest_points(v: np.ndarray, k: int) -> list[int]:
     return chosen
 
 
+#: Faces of a person that one task takes at once; persons with more are worked through in rounds over the cluster.
+PERSON_FACES = 20_000
+#: Bytes of exemplars that are broadcast at a time.
+EXEMPLAR_BYTES = 128 << 20
+
+
+def _diverse_in_rounds(named: DataFrame, per_person: int) -> DataFrame:
+    """Farthest points of persons with any number of faces: every round each task offers, for every person, its face least
+    like those chosen so far, and the least of these is chosen. A task holds a batch and the exemplars chosen so far."""
+    spark = named.sparkSession
+    first = named.groupBy("person_id").agg(F.min_by(F.struct("id", "embedding"), "id").alias("x")).select("person_id", "x.*")
+    chosen = {r["person_id"]: [(r["id"], np.array(r["embedding"]))] for r in first.collect()}
+    for _ in range(per_person - 1):
+        shared = spark.sparkContext.broadcast({p: (np.array([i for i, _ in x]), np.stack([v for _, v in x])) for p, x in chosen.items()})
+
+        def offer(batches, shared=shared):
+            best: dict[int, tuple] = {}
+            for batch in batches:
+                persons, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                x = np.stack(batch.column(2).to_pylist()) if len(ids) else np.zeros((0, 1))
+                for p in np.unique(persons):
+                    taken, v = shared.value[p]
+                    at = np.flatnonzero((persons == p) & ~np.isin(ids, taken))
+                    if len(at):
+                        near = (x[at] @ v.T).max(axis=1)
+                        k = np.lexsort((ids[at], near))[0]
+                        mine = (float(near[k]), int(ids[at[k]]), x[at[k]])
+                        if p not in best or mine[:2] < best[p][:2]:
+                            best[p] = mine
+            columns = [list(best), [m[0] for m in best.values()], [m[1] for m in best.values()], [m[2].tolist() for m in best.values()]]
+            kinds = [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["person_id", "near", "id", "embedding"])
+
+        offers = named.mapInArrow(offer, "person_id long, near double, id long, embedding array<double>")
+        picked = offers.groupBy("person_id").agg(F.min_by(F.struct("id", "embedding"), F.struct("near", "id")).alias("x")).select("person_id", "x.*").collect()
+        for r in picked:
+            chosen[r["person_id"]].append((r["id"], np.array(r["embedding"])))
+        shared.unpersist()
+    rows = [(p, i, v.tolist()) for p, x in chosen.items() for i, v in x]
+    return spark.createDataFrame(rows, "person_id long, id long, embedding array<double>")
+
+
 def exemplars(faces: DataFrame, per_person: int = 32) -> DataFrame:
     """(person_id, id, embedding) of each person's diverse exemplars among the faces named by hand, in id order."""
 
@@ -31,48 +75,65 @@ def exemplars(faces: DataFrame, per_person: int = 32) -> DataFrame:
         pdf = pdf.sort_values("id")
         return pdf.iloc[farthest_points(np.stack(pdf["embedding"]).astype(np.float64), per_person)]
 
+    schema = "person_id long, id long, embedding array<double>"
     named = faces.filter(F.col("person_source") == "manual").select("person_id", "id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return named.groupBy("person_id").applyInPandas(pick, "person_id long, id long, embedding array<double>")
+    many = [r["person_id"] for r in named.groupBy("person_id").count().filter(F.col("count") > PERSON_FACES).select("person_id").collect()]
+    if not many:
+        return named.groupBy("person_id").applyInPandas(pick, schema)
+    crowded = F.col("person_id").isin(many)
+    return named.filter(~crowded).groupBy("person_id").applyInPandas(pick, schema).unionByName(_diverse_in_rounds(named.filter(crowded), per_person))
 
 
-def propagate_labels(faces: DataFrame, chosen: DataFrame, threshold: float = 0.45, margin: float = 0.08, only: int = 0) -> DataFrame:
+def propagate_labels(faces: DataFrame, chosen: DataFrame, threshold: float = 0.45, margin: float = 0.08, only: int = 0, block_bytes: int = EXEMPLAR_BYTES) -> DataFrame:
     """(id, person_id, sim): a face takes the person of its most similar exemplar when that similarity reaches the
     threshold and leads the next person's (0 when there is none) by the margin.
 
-    Exemplars are 32 a person at most; they travel as one matrix in blocks, and a task keeps the two best persons of its
-    own faces, so nothing per pair of face and exemplar is made."""
+    Exemplars travel as a matrix of at most ``block_bytes``; more of them go in blocks of whole persons, one pass over the
+    faces each. A task keeps the two best persons of its own faces in a block, and a face's bests of all blocks meet
+    in one aggregate, so nothing per pair of face and exemplar is made."""
     if not (-1 <= threshold <= 1 and 0 <= margin <= 2):
         raise ValueError("threshold must be in [-1, 1] and margin in [0, 2]")
-    rows = chosen.orderBy("person_id", "id").toArrow()
-    persons = rows.column("person_id").to_numpy()
-    if not len(persons):
+    chosen = chosen.persist(StorageLevel.DISK_ONLY)
+    size = chosen.agg(F.coalesce(F.sum(8 * F.size("embedding")), F.lit(0)).alias("n")).first()["n"]
+    n_blocks = max(1, math.ceil(size / block_bytes))
+    open_faces = faces.filter(~F.col("person_source").eqNullSafe(F.lit("manual"))).select(F.col("id").cast("long"), "embedding")
+
+    def two_best(matrix: np.ndarray, persons: np.ndarray) -> DataFrame:
+        starts = np.flatnonzero(np.concatenate([[True], persons[1:] != persons[:-1]]))
+        shared = faces.sparkSession.sparkContext.broadcast((matrix, starts, persons[starts]))
+
+        def run(batches):
+            m, at, who = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 4096):
+                    part = batch.slice(lo, 4096)
+                    ids = part.column(0).to_numpy()
+                    x = np.stack(part.column(1).to_pylist()).astype(np.float64)
+                    s = np.zeros((len(ids), len(m)))
+                    for j in range(m.shape[1]):
+                        s += x[:, j : j + 1] * m[:, j][None, :]
+                    best = np.maximum.reduceat(s, at, axis=1)
+                    pick = np.arange(len(ids))
+                    for _ in range(min(2, len(who))):
+                        first = best.argmax(axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(who[first]), pa.array(best[pick, first])], ["id", "person_id", "sim"])
+                        best[pick, first] = -np.inf
+
+        return open_faces.mapInArrow(run, "id long, person_id long, sim double")
+
+    found = None
+    for b in range(n_blocks):
+        rows = chosen.filter(F.pmod(F.xxhash64("person_id"), F.lit(n_blocks)) == b).orderBy("person_id", "id").toArrow()
+        if rows.num_rows:
+            part = two_best(np.stack(rows.column("embedding").to_pylist()).astype(np.float64), rows.column("person_id").to_numpy())
+            found = part if found is None else found.unionByName(part)
+    if found is None:
         return faces.sparkSession.createDataFrame([], "id long, person_id long, sim double")
-    matrix = np.stack(rows.column("embedding").to_pylist()).astype(np.float64)
-    starts = np.flatnonzero(np.concatenate([[True], persons[1:] != persons[:-1]]))
-    names = persons[starts]
-    shared = faces.sparkSession.sparkContext.broadcast((matrix, starts, names))
-
-    def run(batches):
-        m, at, who = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                ids = part.column(0).to_numpy()
-                x = np.stack(part.column(1).to_pylist()).astype(np.float64)
-                s = np.zeros((len(ids), len(m)))
-                for j in range(m.shape[1]):
-                    s += x[:, j : j + 1] * m[:, j][None, :]
-                best = np.maximum(np.maximum.reduceat(s, at, axis=1), 0)
-                first = best.argmax(axis=1)
-                pick = np.arange(len(ids))
-                top = best[pick, first]
-                best[pick, first] = -1
-                second = np.maximum(best.max(axis=1), 0) if best.shape[1] > 1 else np.zeros(len(ids))
-                ok = (top > 0) & (top >= threshold) & (top - second >= margin) & ((only == 0) | (who[first] == only))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(who[first][ok]), pa.array(top[ok])], ["id", "person_id", "sim"])
-
-    open_faces = faces.filter(~F.col("person_source").eqNullSafe(F.lit("manual")))
-    return open_faces.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "id long, person_id long, sim double")
+    # Ties go to the lower person; a person below 0 leads nobody.
+    ranked = found.filter("sim > 0").groupBy("id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("sim", (-F.col("person_id")).alias("neg"))))), 1, 2).alias("best"))
+    out = ranked.select("id", (-F.col("best")[0]["neg"]).alias("person_id"), F.col("best")[0]["sim"].alias("sim"), F.coalesce(F.get("best", F.lit(1))["sim"], F.lit(0.0)).alias("next"))
+    ok = (F.col("sim") >= threshold) & (F.col("sim") - F.col("next") >= margin)
+    return out.filter(ok & (F.col("person_id") == only) if only else ok).drop("next")
 
 
 def apply_labels(faces: DataFrame, labels: DataFrame, only: int = 0) -> DataFrame:
@@ -121,8 +182,8 @@ def discover(eligible: DataFrame, max_faces: int = 5000, min_photos: int = 3, th
     return out.filter(F.col("photos") >= min_photos).orderBy(F.col("photos").desc(), F.col("cluster").asc()).limit(max_clusters)
 
 
-def cluster_members(faces: DataFrame, leader, threshold: float, k: int) -> DataFrame:
-    """Unnamed faces above the threshold to a leader's vector."""
+def cluster_members(faces: DataFrame, leader, threshold: float, k: int | None) -> DataFrame:
+    """Unnamed faces of at least the threshold to a leader's vector, the best k (None: all)."""
     from photonlake.operators.vector_search import knn
 
     return knn(faces.filter(F.col("person_id").isNull()), leader, k, min_score=threshold)

@@ -164,3 +164,42 @@ def adopt_scores(photos: DataFrame, scores: DataFrame, model: str) -> DataFrame:
     have = scores.filter(F.col("model") == model).select(F.col("photo_id").alias("id"))
     new = photos.filter("aesthetic is not null").join(have, "id", "left_anti").select(F.col("id").alias("photo_id"), F.lit(model).alias("model"), F.col("aesthetic").alias("score"))
     return scores.unionByName(new)
+
+
+def judged_summary(feedback: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(rater, photos, no_vector): distinct photos judged, for every rater and, with a null rater, by anyone; of the latter
+    also those without a vector. One distinct table of the pairs serves all."""
+    pairs = feedback.select("rater", "photo_id").distinct()
+    has = vectors.select("photo_id").distinct().withColumn("_has", F.lit(True))
+    anyone = pairs.select("photo_id").distinct().join(has, "photo_id", "left").agg(F.count("*").alias("photos"), F.count_if(F.col("_has").isNull()).alias("no_vector"))
+    each = pairs.groupBy("rater").agg(F.count("*").alias("photos")).withColumn("no_vector", F.lit(None).cast("long"))
+    return each.unionByName(anyone.select(F.lit(None).cast("string").alias("rater"), "photos", "no_vector"))
+
+
+def source_inputs(photos: DataFrame, vectors: DataFrame, after: int = 0, every: bool = False, limit: int = 1000) -> DataFrame:
+    """(id, seq, camera, clip): a page, in id order, of the photos whose source is to be decided (or all), whether the
+    metadata names a camera, and the vector (null when there is none)."""
+    open_ = photos if every else photos.filter(F.col("source") == SOURCE_UNKNOWN)
+    named = (F.coalesce("camera_make", F.lit("")) != "") | (F.coalesce("camera_model", F.lit("")) != "")
+    first = open_.filter(F.col("id") > after).select("id", "seq", named.alias("camera")).orderBy("id").limit(limit)
+    return first.join(vectors.select(F.col("photo_id").alias("id"), "clip"), "id", "left")
+
+
+def judged_vectors(feedback: DataFrame, vectors: DataFrame, rater: str = "") -> DataFrame:
+    """Each rater's standing judgement of a photo (the latest rating, else the latest verdict) with the photo's vector; photos
+    without one are left out."""
+    mine = feedback.filter(F.col("rater") == rater) if rater else feedback
+    order = W.partitionBy("photo_id", "rater").orderBy(F.col("rating").isNotNull().desc(), F.col("id").desc())
+    latest = mine.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return latest.join(vectors.select("photo_id", "clip"), "photo_id")
+
+
+def photo_scores(scores: DataFrame) -> DataFrame:
+    """(photo_id, scores): every model's score of a photo as a map."""
+    return scores.groupBy("photo_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "score")))).alias("scores"))
+
+
+def add_scores(scores: DataFrame, model: str, new: DataFrame) -> DataFrame:
+    """Scores with one model's new ones (photo_id, score) in place of its earlier ones."""
+    fresh = new.select("photo_id", F.lit(model).alias("model"), "score")
+    return scores.join(fresh.select("photo_id", "model"), ["photo_id", "model"], "left_anti").unionByName(fresh)

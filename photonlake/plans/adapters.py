@@ -72,4 +72,5 @@ def face_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_vector(spark: SparkSession, d: str, vec_id: int) -> list[float]:
+    """One stored vector as the numbers of a query, as a caller would send them."""
     return [float(x) for x in load(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0]]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from photonlake.plans import browse, groups, scalars, similarity, upkeep
+from photonlake.plans import browse, groups, records, scalars, similarity, upkeep
 
-_FAMILIES = [browse, groups, similarity, scalars, upkeep]
+_FAMILIES = [browse, groups, similarity, scalars, upkeep, records]
 QUERIES: dict = {name: f for family in _FAMILIES for name, f in family.QUERIES.items()}
 ORACLES: dict = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}

@@ -86,8 +86,8 @@ _page("group_page_faces", "faces", "max_faces DESC, faces_overall DESC")
 @query(f"WITH {_RUNS} SELECT id, overall, burst_id FROM bursts WHERE burst_id = (SELECT min(burst_id) FROM bursts WHERE burst_id > 100) ORDER BY overall DESC, id")
 def group_members(spark: SparkSession, d: str) -> DataFrame:
     b = _bursts(spark, d)
-    first = b.filter("burst_id > 100").agg(F.min("burst_id")).first()[0]
-    members = b.filter(F.col("burst_id") == first).select(F.col("burst_id").alias("id"), F.col("id").alias("photo_id"))
+    first = b.filter("burst_id > 100").agg(F.min("burst_id").alias("first")).scalar()
+    members = b.select(F.col("burst_id").alias("id"), F.col("id").alias("photo_id"))
     return grouping.group_members(members, b, first).select("id", "overall", "burst_id")
 
 

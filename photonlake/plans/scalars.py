@@ -12,6 +12,7 @@ from photonlake.operators.ordering import resort_hits
 from photonlake.plans import adapters as A
 from photonlake.plans.browse import EVENTS, ORDERS
 from photonlake.session import load
+from photonlake.sources.files import fingerprint
 from photonlake.sources.sinks import export_names
 
 QUERIES: dict = {}
@@ -126,9 +127,10 @@ def library_paths(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", paths.in_app_cache(p).alias("cache"), paths.excluded(p).alias("excluded"), paths.library_parts(p)["lib"].alias("lib"))
 
 
-@query("SELECT doc_id AS id, substr(sha256(text), 1, 32) AS fingerprint FROM documents")
+@query("SELECT doc_id AS id, substr(sha256(unhex(printf('%02x%02x%02x%02x00000000', n & 255, (n >> 8) & 255, (n >> 16) & 255, (n >> 24) & 255)) || encode(text)), 1, 32) AS fingerprint FROM (SELECT *, octet_length(encode(text)) AS n FROM documents)")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32).alias("fingerprint"))
+    content = F.col("text").cast("binary")
+    return load(spark, d, "documents").select(F.col("doc_id").alias("id"), fingerprint(F.octet_length(content), content).alias("fingerprint"))
 
 
 @query(
@@ -163,9 +165,9 @@ def unhidden_frames(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.unhide_orphans(o.unionByName(tops)).filter("id >= 10000000").select((F.col("id") - 10_000_000).alias("id"), "stack_top", "stacked")
 
 
-@query(f"SELECT '0' AS a, path, lpad(CAST(row_number() OVER (ORDER BY overall DESC NULLS LAST, id) AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (ORDER BY overall DESC NULLS LAST, id) AS VARCHAR))) AS INTEGER), '0') || '_' || id || '.jpg' AS target FROM {ORDERS} WHERE path LIKE '/ASIA/NATION_12/%'")
+@query(f"SELECT '0' AS a, path, lpad(CAST(row_number() OVER (ORDER BY overall DESC NULLS LAST, id) AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (ORDER BY overall DESC NULLS LAST, id) AS VARCHAR))) AS INTEGER), '0') || '_' || id || '.jpg' AS target FROM {ORDERS}")
 def export_targets(spark: SparkSession, d: str) -> DataFrame:
-    p = A.order_photos(spark, d).filter(F.startswith("path", F.lit("/ASIA/NATION_12/")))
+    p = A.order_photos(spark, d)
     return export_names(p, [F.col("overall").desc_nulls_last(), F.col("id")]).select(F.lit("0").alias("a"), "path", "target")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.functions.scores import round_to
-from photonlake.functions.vectors import dot, hamming, quantise
+from photonlake.functions.vectors import quantise
 from photonlake.operators import grouping, maintenance, matching, people, scoring, training, vector_search
 from photonlake.plans import adapters as A
 from photonlake.plans.browse import EVENTS
@@ -52,10 +52,10 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(vector_search.knn_filtered(v, v.filter(F.col("label").isin(2, 5)), A.query_vector(spark, d, 11), 20, min_score=0.05), "score")
 
 
-@query(f"SELECT query, id, score, rank FROM (SELECT b.vec_id AS query, a.vec_id AS id, {_R6.format(_DOT)} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DOT} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id < 10) WHERE rank <= 5")
+@query(f"SELECT query, id, score, rank FROM (SELECT b.vec_id AS query, a.vec_id AS id, {_R6.format(_DOT)} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DOT} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) WHERE rank <= 5")
 def knn_multi_query(spark: SparkSession, d: str) -> DataFrame:
-    q = [(r["vec_id"], r["embedding"]) for r in load(spark, d, "embeddings").filter("vec_id < 10").collect()]
-    return _rounded(vector_search.knn_many(A.vectors(spark, d), q, 5), "score").withColumn("rank", F.col("rank").cast("long"))
+    v = A.vectors(spark, d)
+    return _rounded(vector_search.knn_many(v, v.filter("id % 50 = 0"), 5), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"SELECT a.vec_id AS id, {_R6.format(f'max({_DOT})')} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (1, 2, 3, 4) AND a.vec_id % 9 <> 0 GROUP BY 1 ORDER BY max({_DOT}) DESC, a.vec_id LIMIT 30")
@@ -98,34 +98,53 @@ def phash_bits(spark: SparkSession, d: str) -> DataFrame:
     return h.select("id", F.shiftright("phash", 32).bitwiseAND(low).alias("hi"), F.col("phash").bitwiseAND(low).alias("lo"))
 
 
-@query(f"WITH {_HASH} SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS bits FROM h a JOIN h b ON a.label = b.label AND a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 20")
+def _flip(half: str) -> str:
+    """SQL of half a hash with two bits changed by the id."""
+    bit = lambda p: f"CASE WHEN {p} >= 32 THEN CAST(1 AS BIGINT) << ({p} - 32) ELSE 0 END" if half == "hi" else f"CASE WHEN {p} < 32 THEN CAST(1 AS BIGINT) << {p} ELSE 0 END"
+    return f"xor(xor({half}, {bit('(id % 64)')}), {bit('((id + 21) % 64)')})"
+
+
+@query(
+    f"""WITH {_HASH}, f AS (SELECT id, label, hi, lo FROM h UNION ALL SELECT id + 1000000, label, {_flip('hi')}, {_flip('lo')} FROM h)
+SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS bits FROM f a JOIN f b ON a.label = b.label AND a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 10"""
+)
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Frames and a recompressed copy of each, which moves two bits."""
     h = A.hashed_vectors(spark, d).select("id", "label", "phash")
-    a, b = h.alias("a"), h.alias("b")
-    bits = hamming(F.col("a.phash"), F.col("b.phash"))
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.id") < F.col("b.id")) & (bits <= 20))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), bits.cast("int").alias("bits"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), ((F.col("id") + k) % 64).cast("int"))
+    copies = h.select((F.col("id") + 1_000_000).alias("id"), "label", F.col("phash").bitwiseXOR(bit(0)).bitwiseXOR(bit(21)).alias("phash"))
+    return matching.near_hashes(h.unionByName(copies), ["label"], 10).drop("label")
 
 
-@query(
-    f"""WITH s AS (SELECT a.vec_id AS id, b.label AS person, max({_DOT}) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 5 <> 0 AND b.vec_id % 5 = 0 GROUP BY 1, 2),
+def _far(k: int) -> str:
+    """Up to k exemplars a person: the first named face, then always the one least like those chosen."""
+    return f"""WITH RECURSIVE named AS (SELECT CAST(label AS BIGINT) AS person_id, vec_id AS id, embedding FROM embeddings WHERE vec_id % 5 = 0),
+sims AS MATERIALIZED (SELECT a.person_id, a.id, b.id AS other, {_DOT} AS s FROM named a JOIN named b ON a.person_id = b.person_id),
+far AS (SELECT person_id, [min(id)] AS ids FROM named GROUP BY person_id
+  UNION ALL SELECT person_id, list_append(any_value(ids), arg_min(id, (near, id))) FROM (SELECT f.person_id, f.ids, m.id, max(m.s) AS near FROM far f JOIN sims m ON m.person_id = f.person_id AND list_contains(f.ids, m.other) AND NOT list_contains(f.ids, m.id) WHERE len(f.ids) < {k} GROUP BY f.person_id, f.ids, m.id) GROUP BY person_id),
+chosen AS (SELECT person_id, unnest(ids) AS id FROM (SELECT person_id, arg_max(ids, len(ids)) AS ids FROM far GROUP BY person_id))"""
+
+
+def _labels(k: int, threshold: float, margin: float) -> str:
+    return f"""{_far(k)}, s AS (SELECT a.vec_id AS id, c.person_id AS person, max({_DOT}) AS sim FROM embeddings a, chosen c JOIN embeddings b ON b.vec_id = c.id WHERE a.vec_id % 5 <> 0 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, person) AS k FROM s WHERE sim > 0), t AS (SELECT id, max(CASE WHEN k = 1 THEN person END) AS person_id, max(CASE WHEN k = 1 THEN sim END) AS a, coalesce(max(CASE WHEN k = 2 THEN sim END), 0) AS b FROM r GROUP BY id)
-SELECT id, CAST(person_id AS BIGINT) AS person_id, {_R6.format('a')} AS sim FROM t WHERE a >= 0.3 AND a - b >= 0.02"""
-)
+SELECT id, person_id, {_R6.format('a')} AS sim FROM t WHERE a >= {threshold} AND a - b >= {margin}"""
+
+
+@query(_labels(32, 0.3, 0.02))
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     f = A.face_rows(spark, d)
-    chosen = people.exemplars(f, per_person=1_000_000)
-    return _rounded(people.propagate_labels(f, chosen, 0.3, 0.02), "sim")
+    return _rounded(people.propagate_labels(f, people.exemplars(f), 0.3, 0.02), "sim")
 
 
-@query()
+@query(_labels(4, 0.25, 0.02))
 def label_propagation_diverse(spark: SparkSession, d: str) -> DataFrame:
     """With four diverse exemplars a person, as used on large catalogues."""
     f = A.face_rows(spark, d)
-    return people.propagate_labels(f, people.exemplars(f, 4), 0.25, 0.02)
+    return _rounded(people.propagate_labels(f, people.exemplars(f, 4), 0.25, 0.02), "sim")
 
 
-@query()
+@query(f"{_far(8)} SELECT person_id, id FROM chosen")
 def farthest_point_exemplars(spark: SparkSession, d: str) -> DataFrame:
     return people.exemplars(A.face_rows(spark, d), 8).select("person_id", "id")
 
@@ -139,7 +158,9 @@ def leader_clustering(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_stacking(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.stack_frames(A.hashed_vectors(spark, d), ["label"], 22)
+    """Stacks in chunks of at most 1000 frames, as sessions pack them."""
+    frames = A.hashed_vectors(spark, d).withColumn("chunk", F.floor(F.col("id") / 1000))
+    return grouping.stack_frames(frames, ["label", "chunk"], 22).drop("chunk")
 
 
 _PROMPTS = "p AS (SELECT vec_id AS prompt, 'c' || (vec_id % 4) AS name, embedding FROM embeddings WHERE vec_id < 12)"
@@ -224,22 +245,23 @@ def interval_theta_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes from lineitem: corners and sizes are fixed functions of the line's numbers."""
-    li = load(spark, d, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    """Boxes from lineitem: corners and sizes are fixed functions of the line's numbers. Lines that share order and number
+    make one box, the least of them."""
+    least = F.min(F.struct("l_quantity", "l_partkey", "l_discount", "l_tax", "l_suppkey")).alias("x")
+    li = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(least).select("l_orderkey", "l_linenumber", "x.*")
     x, y = F.col("l_quantity") / 100, (F.col("l_partkey") % 50) / 100.0
     return li.select(F.col("l_orderkey").alias("photo_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), x.alias("x1"), y.alias("y1"), (x + 0.3).alias("x2"), (y + 0.2 + F.col("l_discount")).alias("y2"), F.col("l_tax").alias("score"), F.when(F.col("l_linenumber") == 1, "manual").alias("person_source"), (F.col("l_suppkey")).alias("person_id"))
 
 
-_BOXES = """b AS (SELECT l_orderkey AS photo_id, l_orderkey * 10 + l_linenumber AS id, l_quantity / 100 AS x1, (l_partkey % 50) / 100.0 AS y1, l_quantity / 100 + 0.3 AS x2, (l_partkey % 50) / 100.0 + 0.2 + l_discount AS y2, l_linenumber
-  FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k = 1)"""
+_BOXES = """b AS (SELECT l_orderkey AS photo_id, l_orderkey * 10 + l_linenumber AS id, x.q / 100 AS x1, (x.p % 50) / 100.0 AS y1, x.q / 100 + 0.3 AS x2, (x.p % 50) / 100.0 + 0.2 + x.d AS y2, l_linenumber
+  FROM (SELECT l_orderkey, l_linenumber, min({q: l_quantity, p: l_partkey, d: l_discount, t: l_tax, s: l_suppkey}) AS x FROM lineitem GROUP BY 1, 2))"""
 _IOU = "(CASE WHEN least(o.x2, n.x2) > greatest(o.x1, n.x1) AND least(o.y2, n.y2) > greatest(o.y1, n.y1) THEN (least(o.x2, n.x2) - greatest(o.x1, n.x1)) * (least(o.y2, n.y2) - greatest(o.y1, n.y1)) ELSE 0 END)"
 _AREA = "((o.x2 - o.x1) * (o.y2 - o.y1) + (n.x2 - n.x1) * (n.y2 - n.y1))"
 
 
 @query(f"WITH {_BOXES}, s AS (SELECT o.photo_id, o.id AS old_id, n.id AS new_id, {_IOU} / ({_AREA} - {_IOU}) AS iou FROM b o JOIN b n ON o.photo_id = n.photo_id AND o.l_linenumber = 1 AND n.l_linenumber > 1) SELECT photo_id, old_id, new_id, {_R6.format('iou')} AS iou FROM (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY iou DESC, new_id) AS k FROM s WHERE iou > 0.3) WHERE k = 1")
 def iou_match(spark: SparkSession, d: str) -> DataFrame:
-    li = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("k")).filter("k = 1")
-    b = _boxes(spark, d).join(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")), "id", "left_semi")
+    b = _boxes(spark, d)
     old, new = b.filter("person_source = 'manual'"), b.filter("person_source is null")
     return _rounded(matching.carry_labels(old, new, 0.3), "iou")
 
@@ -303,6 +325,6 @@ def moved_stars(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT id, {_R6.format('s')} AS sim FROM (SELECT a.vec_id AS id, {_DOT} AS s FROM embeddings a, embeddings b WHERE b.vec_id = 1) WHERE s > 0.2")
 def cluster_members(spark: SparkSession, d: str) -> DataFrame:
-    v = A.vectors(spark, d)
-    sims = v.select("id", dot(F.col("embedding"), vector_search.literal_vector(A.query_vector(spark, d, 1))).alias("sim"))
-    return _rounded(sims.filter("sim > 0.2"), "sim")
+    faces = A.vectors(spark, d).withColumn("person_id", F.lit(None).cast("long"))
+    hits = people.cluster_members(faces, A.query_vector(spark, d, 1), 0.2, None).filter("score > 0.2")
+    return _rounded(hits.withColumnRenamed("score", "sim"), "sim")

@@ -7,7 +7,8 @@ import shutil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from photonlake.operators.ordering import ordered_number
 
 from photonlake.functions.times import taken_label
 
@@ -36,8 +37,8 @@ def write_listing(hits: DataFrame, path: str, form: str) -> None:
 
 def export_names(hits: DataFrame, order: list) -> DataFrame:
     """(path, target): 0001_name and so on in the given order, four digits at least."""
-    n = F.row_number().over(W.orderBy(*order))
-    return hits.select("path", F.concat(F.when(n < 10000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")), F.lit("_"), F.regexp_extract("path", r"[^/\\]+$", 0)).alias("target"))
+    n = F.col("_nth")
+    return ordered_number(hits, order, "_nth").select("path", F.concat(F.when(n < 10000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")), F.lit("_"), F.regexp_extract("path", r"[^/\\]+$", 0)).alias("target"))
 
 
 def export_files(hits: DataFrame, order: list, folder: str, limit: int, link: bool = False) -> int:

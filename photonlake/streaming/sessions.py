@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,30 @@ def refresh_index(stream: DataFrame, index_path: Callable[[int], str], keys: lis
         new.write.mode("overwrite").parquet(index_path(epoch))
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class Upkeep:
+    """What runs beside a change feed: every trigger brings the index up to date, and derived tables are rebuilt when they are
+    stale, at most once in ``rebuild_every`` seconds unless the rules changed or a caller insists."""
+
+    def __init__(self, refresh: Callable[[DataFrame, int], None], rebuild: Callable[[], None], stale: Callable[[], bool], rules_changed: Callable[[], bool], rebuild_every: float = 1800, clock: Callable[[], float] = time.time):
+        self.refresh, self.rebuild, self.stale, self.rules_changed = refresh, rebuild, stale, rules_changed
+        self.rebuild_every, self.clock, self.last = rebuild_every, clock, -float("inf")
+
+    def regroup(self, now: bool = False) -> bool:
+        """Rebuild if that is due; whether it ran."""
+        hurry = now or self.rules_changed()
+        if not hurry and self.clock() - self.last < self.rebuild_every or not self.stale():
+            return False
+        self.last = self.clock()
+        self.rebuild()
+        return True
+
+    def apply(self, batch: DataFrame, epoch: int) -> None:
+        self.refresh(batch, epoch)
+        self.regroup()
+
+    def start(self, stream: DataFrame, checkpoint: str, every: str = "1 minute", available_now: bool = False):
+        """The running query: a micro-batch every interval, or all that the source has now."""
+        writer = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

@@ -245,7 +245,7 @@ def test_knn_is_exact_and_filters_first(spark):
     assert ids(vector_search.knn(df, v[17], 9)) == best[:9]
     odd = df.filter("id % 2 = 1").select("id")
     assert ids(vector_search.knn_filtered(df, odd, v[17], 5)) == [i for i in best if i % 2][:5]
-    many = vector_search.knn_many(df, [(0, v[17].tolist()), (1, v[3].tolist())], 4).filter("query = 0").orderBy("rank")
+    many = vector_search.knn_many(df, spark.createDataFrame([(0, v[17].tolist()), (1, v[3].tolist())], "id long, embedding array<double>"), 4, block=1).filter("query = 0").orderBy("rank")
     assert ids(many) == best[:4]
     plan = vector_search.knn(df, v[17], 9)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
