@@ -165,13 +165,23 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def cross_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members of different components of a hub's group; groups: (hub, rep, comp).
 
-    Groups are cut into tiles of at most ``TILE`` by ``TILE`` members. A tile gets each member's units once and tests in
-    place; no pair is written unless it is a link, and members that a link of the tile joined are not tested again."""
-    sizes = groups.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
-    placed = groups.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
-    tiles = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
-    tiles = tiles.select("hub", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rep", "comp")
-    parts = tiles.join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep").select("hub", "i", "j", "rep", "comp", "units")
+    Members outside a group's largest component meet each other and its members, in tiles of at most ``TILE`` by ``TILE``;
+    the largest component never meets itself, so its members are copied only as often as there are blocks of others. A tile
+    gets each member's units once and tests in place; no pair is written unless it is a link, and members that a link of
+    the tile joined are not tested again."""
+    counts = groups.groupBy("hub", "comp").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = sizes.select("hub", F.col("top.comp").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("n_few"), blocks(F.col("top.n")).alias("n_top"))
+    placed = groups.join(sizes, "hub").withColumn("few", F.col("comp") != F.col("top"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("few"), F.col("n_few")).otherwise(F.col("n_top"))).cast("int"))
+    tile = lambda with_top, i, j: F.struct(F.lit(with_top).alias("with_top"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = F.transform(upto("n_few"), lambda k: tile(False, F.least("own", k), F.greatest("own", k)))
+    across = F.transform(upto("n_top"), lambda k: tile(True, F.col("own"), k))
+    back = F.transform(upto("n_few"), lambda k: tile(True, k, F.col("own")))
+    tiles = placed.select("hub", "rep", "comp", F.explode(F.when(F.col("few"), F.concat(among, across)).otherwise(back)).alias("t")).select("hub", "rep", "comp", "t.*")
+    parts = tiles.join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep").select("hub", "with_top", "i", "j", "rep", "comp", "units")
 
     def run(table):
         table = table.sort_by("rep").combine_chunks()
@@ -201,7 +211,7 @@ def cross_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFra
                     comp[comp == old] = new
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return parts.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+    return parts.groupBy("hub", "with_top", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
