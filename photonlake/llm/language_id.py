@@ -75,18 +75,19 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int, max_n: int, sample: int, alpha: float = 0.5):
-    """(languages, log probabilities with the priors in the last column)."""
+    """(languages, log probabilities of the grams); the priors are uniform, as the sample has as many of each."""
     learn = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     # The bounded sample: per language the first documents by hash, cut within hash ranges before the last cut,
-    # so that no task ranks a whole language (Spark cuts a rank filter of up to 1000 before its shuffle).
-    mark = F.xxhash64(F.col(id_col), F.lit(3))
-    ids = learn.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), mark.alias("_mark")).withColumn("_part", F.pmod("_id", F.lit(64)))
-    ids = ids.withColumn("_n", F.row_number().over(W.partitionBy("_lang", "_part").orderBy("_mark", "_id"))).filter(F.col("_n") <= sample)
-    ids = ids.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_mark", "_id"))).filter(F.col("_n") <= sample)
+    # so that no task ranks a whole language (Spark cuts a rank filter of up to 1000 before its shuffle). Rows equal in
+    # id and text are one document.
+    mark = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")), F.lit(3))
+    ids = learn.select(F.col(lang_col).alias("_lang"), mark.alias("_mark")).distinct().withColumn("_part", F.pmod("_mark", F.lit(64)))
+    ids = ids.withColumn("_n", F.row_number().over(W.partitionBy("_lang", "_part").orderBy("_mark"))).filter(F.col("_n") <= sample)
+    ids = ids.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_mark"))).filter(F.col("_n") <= sample)
     # The last mark of each language's sample, a row a language, stands for the ids: no join has to move texts.
     cuts = {r["_lang"]: r["cut"] for r in ids.groupBy("_lang").agg(F.max("_mark").alias("cut")).collect()}
     table = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else F.lit(None).cast("map<string,bigint>")
-    chosen = learn.filter(mark <= F.element_at(table, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = learn.filter(mark <= F.element_at(table, F.col(lang_col))).groupBy(F.col(lang_col).alias("lang"), mark.alias("_mark")).agg(F.first(text_col).alias("text")).select("lang", "text")
     width = 1 << bits
 
     def run(batches):
