@@ -36,12 +36,22 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _ids_follow_merges(model: dict, letters: dict[str, int]) -> bool:
+    """Whether single bytes have the lowest ids and every merge, in order, makes the next piece up, each piece by one merge."""
+    vocab = model["vocab"]
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [vocab.get(x, -1) for x in made]
+    singles = [vocab.get(c, -1) for c in letters]
+    return min(singles) >= 0 and all(a < b for a, b in zip([max(singles), *ids], ids, strict=False)) and len(vocab) - len(made) - len(singles) <= len(model.get("special", [])) + 64
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """text -> uint32 ids, as the tokenizer file gives them without added special tokens.
 
-    Merge ranks are read from the file and run by the faster of the two installed BPE engines; a text that holds the
-    string of a special token goes through the file's own library, which gives it that token's id."""
+    Where the ids of the vocabulary rise as the file's merges follow one another, they are the merge ranks, and the faster of
+    the two installed BPE engines runs them; any other file, and a text that holds the string of a special token, goes
+    through the file's own library."""
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -54,10 +64,12 @@ def encoder(path: str):
         return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     pre = spec.get("pre_tokenizer") or {}
-    if spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-        return by_file
+    model = spec["model"]
+    odd = [pre.get("add_prefix_space"), not pre.get("use_regex", True), spec.get("normalizer"), *(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))]
     letters = _byte_letters()
-    ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in added}
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or any(odd) or not _ids_follow_merges(model, letters):
+        return by_file
+    ranks = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in added}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
