@@ -14,6 +14,8 @@ equal or null doc_id are separate; an empty table gives an empty result; other c
 from __future__ import annotations
 
 import hashlib
+import bisect
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -151,19 +153,62 @@ def _gif(d: bytes, at: int):
     return None
 
 
+class Places:
+    """Where a mark stands in a text: listed once, then looked up, however many hits ask."""
+
+    def __init__(self, data: bytes):
+        self.data, self.lists = data, {}
+
+    def of(self, mark: bytes) -> list[int]:
+        if mark not in self.lists:
+            self.lists[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self.lists[mark]
+
+    def between(self, mark: bytes, low: int, high: int) -> list[int]:
+        every = self.of(mark)
+        return every[bisect.bisect_left(every, low) : bisect.bisect_left(every, high)]
+
+    def archives(self) -> dict[int, int]:
+        """Start -> end record, of the zips whose directory lies where the record says; the outermost of a start."""
+        if "zip" not in self.lists:
+            found = {}
+            for end in self.of(b"PK\x05\x06"):
+                if end + 22 <= len(self.data):
+                    size, start = struct.unpack_from("<II", self.data, end + 12)
+                    found[end - size - start] = end
+            self.lists["zip"] = found
+        return self.lists["zip"]
+
+
+@lru_cache(maxsize=4)
+def places(data: bytes) -> Places:
+    return Places(data)
+
+
 def _pdf(d: bytes, at: int):
+    """Up to the last end mark before the next file whose cross-reference offset leads to one, or to the first mark."""
     if not d[at + 5 : at + 8].strip(b"0123456789") == b".":
         return None
-    end = d.find(b"%%EOF", at)
-    return ("pdf", end + 5 - at) if end >= 0 and d.find(b"obj", at, end) >= 0 else None
+    where = places(d)
+    after = where.of(b"%PDF-")
+    k = bisect.bisect_right(after, at)
+    ends = where.between(b"%%EOF", at, after[k] if k < len(after) else len(d))
+    if not ends or not where.between(b"obj", at, ends[-1])[:1]:
+        return None
+    for end in reversed(ends):
+        told = re.search(rb"startxref\s+(\d{1,12})\s*$", d[max(at, end - 64) : end])
+        if told and re.match(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)", d[at + int(told[1]) : at + int(told[1]) + 40]):
+            return "pdf", end + 5 - at
+    first = ends[0]
+    return ("pdf", first + 5 - at) if where.between(b"obj", at, first)[:1] else None
 
 
 def _zip(d: bytes, at: int):
-    end = d.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(d):
+    end = places(d).archives().get(at)
+    if end is None:
         return None
     size, start, note = struct.unpack_from("<IIH", d, end + 12)
-    if at + start + size != end or d[at + start : at + start + 4] != b"PK\x01\x02":
+    if d[at + start : at + start + 4] != b"PK\x01\x02":
         return None
     return ("zip", end + 22 + note - at) if end + 22 + note <= len(d) else None
 
@@ -222,6 +267,8 @@ def _isobmff(d: bytes, at: int):
 
 
 def _gzip(d: bytes, at: int):
+    if d[at + 3 : at + 4] > b"\x1f":  # reserved flags
+        return None
     unpack = zlib.decompressobj(31)
     try:
         pos = at

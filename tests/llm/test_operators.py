@@ -183,6 +183,15 @@ def test_special_strings_and_plain_texts_match_the_tokenizer():
         assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_only_files_whose_ids_follow_their_merges_are_run_by_rank():
+    letters = packing._byte_letters()
+    vocab = {c: i for i, c in enumerate(letters)} | {"ab": 256, "abc": 257}
+    model = {"vocab": vocab, "merges": ["a b", ["ab", "c"]]}
+    assert packing._ids_follow_merges(model, letters)
+    assert not packing._ids_follow_merges({"vocab": vocab | {"ab": 257, "abc": 256}, "merges": model["merges"]}, letters)
+    assert not packing._ids_follow_merges({"vocab": {k: v for k, v in vocab.items() if k != "ab"}, "merges": model["merges"]}, letters)
+
+
 def optimum(sizes, capacity):
     best = len(sizes)
 
@@ -369,9 +378,68 @@ def test_sniffing_confirms_corrects_and_carves():
     assert media.sniff(media.to_wave(png + bytes(20)), "x")["embedded"] == [("png", 44, len(png))]
 
 
+def test_later_end_marks_and_outer_archives_are_carved_whole():
+    import io
+    import time
+    import zipfile
+
+    def pdf(parts):
+        out = b"%PDF-1.4\n"
+        for k in range(parts):
+            at = len(out)
+            out += b"xref\n0 1\ntrailer 1 0 obj\nstartxref\n%d\n%%%%EOF" % at + (b"\n" if k + 1 < parts else b"")
+        return out
+
+    one, two = pdf(1), pdf(3)
+    got = media.sniff(b"text " + two + b" more " + one + b" %PDF-1.7 alone", None)["embedded"]
+    assert got == [("pdf", 5, len(two)), ("pdf", 5 + len(two) + 6, len(one))]
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a", "hello" * 30)
+    with zipfile.ZipFile(outer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("in.zip", inner.getvalue())
+        z.writestr("b", "end")
+    assert media.sniff(b"x" * 9 + outer.getvalue() + b"tail", None)["embedded"] == [("zip", 9, len(outer.getvalue()))]
+    start = time.time()
+    media.sniff(b"%PDF-1.4 obj PK\x03\x04 " * 100_000 + b"PK\x05\x06", None)
+    assert time.time() - start < 20
+
+
 # language
 
 
+def test_language_matches_plain_naive_bayes(spark):
+    """Counts, smoothing, softmax and held-out rows against loops over dictionaries."""
+    rng = np.random.default_rng(8)
+    words = {"en": ["the", "house", "with"], "de": ["das", "haus", "mit", "über"], "fr": ["le", "maison", "avec"]}
+    data = [(i, " ".join(rng.choice(words[k], 12)), k) for i in range(60) for k in [["en", "de", "fr"][i % 3]]] + [(100, "the maison das", None), (7, "x y z", "en")]
+    docs = spark.createDataFrame(data + data[:2], "doc_id long, text string, lang string")
+    grams = lambda t: language_id.char_grams(pa.array([t]), 16, 3)[1].tolist()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    counts = defaultdict(Counter)
+    for i, t, k in data:
+        if k and not held(i):
+            counts[k].update(grams(t))
+    logs = {}
+    for k, c in counts.items():
+        total = sum(c.values()) + 0.5 * 2**16
+        logs[k] = lambda g, c=c, total=total: np.log((c[g] + 0.5) / total)
+    for r in language_id.identify(docs).collect():
+        t = next(t for i, t, _ in data if i == r.doc_id and (i != 7 or grams(t)))
+        if r.doc_id == 7:
+            continue  # two texts share the id
+        score = {k: sum(f(g) for g in grams(t)) for k, f in logs.items()}
+        best = max(sorted(score), key=score.get)
+        assert (r.lang_pred, r.held_out) == (best, held(r.doc_id))
+        assert abs(r.score - 1 / sum(np.exp(v - score[best]) for v in score.values())) < 1e-3
+
+
+def test_language_sample_is_bounded_for_repeated_rows(spark):
+    data = [(1, f"the house {i % 3}", "en") for i in range(500)] + [(2, "das haus", "de")] * 50
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(docs, sample=2).collect()} == {"en", "de"}
+
+
 def test_language_learns_and_names_undetermined(spark):
     rng = np.random.default_rng(5)
     words = {"en": ["the", "house", "with", "thing"], "de": ["das", "haus", "mit", "über", "schön"], "fr": ["le", "maison", "avec", "être"]}
@@ -440,6 +508,35 @@ def test_quality_with_one_grade_keeps_all(spark):
     assert [(r._expected_grade, r._kept) for r in quality.classify(docs, lab).collect()] == [(2.0, True)] * 2
 
 
+def test_classification_is_the_plain_formula(spark):
+    """P(grade >= k) = sigmoid(score - threshold k) by loops, and a fit that no small step improves."""
+    rng = np.random.default_rng(6)
+    data = [(i, " ".join(rng.choice(corpus.WORDS, 20)) + (" idiot scum" if i % 3 == 1 else " ***" * (i % 3 == 0))) for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 1)) for i in range(120)], "doc_id long, quality int, toxic int")
+    graded = lab.select(F.col("doc_id").alias("id"), quality.grade_of(lab).cast("int").alias("grade"))
+    model = quality.fit_model(docs, graded, "doc_id", "text", 18, 8000)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for r in quality.classify(docs, lab).collect():
+        rows, cols, vals = quality.features(pa.array([r.text]), 18)
+        score = sum(float(np.float32(model.weights[c])) * v for c, v in zip(cols, vals, strict=True))
+        tails = [sigmoid(score - t) for t in model.thresholds]
+        assert np.allclose(r._tails, tails, atol=1e-6) and abs(r._expected_grade - sum(tails)) < 1e-6
+        assert r._kept == (tails[1] >= quality.LEAST_TAIL)
+    x, cols = np.repeat(np.arange(200), 3), rng.integers(0, 16, 600)
+    y = np.digitize(np.bincount(x, weights=rng.normal(size=16)[cols]) + rng.logistic(size=200), [-1, 1])
+    fit = quality.OrdinalModel.fit(x, cols, np.ones(600), y, 3, 4, epochs=2000, rate=0.02, penalty=1e-3)
+
+    def loss(w, t):
+        edges = np.concatenate([[-np.inf], t, [np.inf]])
+        s = np.bincount(x, weights=w[cols], minlength=200)
+        return -np.log(sigmoid(edges[y + 1] - s) - sigmoid(edges[y] - s)).mean() + 0.5e-3 * (w**2).sum()
+
+    best = loss(fit.weights, fit.thresholds)
+    for _ in range(100):
+        assert loss(fit.weights + rng.normal(size=16) * 0.05, fit.thresholds + rng.normal(size=2) * 0.05) > best - 1e-6
+
+
 def test_ordinal_gradient_descends():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 64, 3000)
@@ -498,6 +595,17 @@ def test_minhash_classes_match_brute_force(spark):
     assert got == weighted_classes(data)
 
 
+def test_mixed_groups_are_tested_in_tiles(spark, monkeypatch):
+    """Many components in one hub's group, cut into small tiles: the largest one is copied for the others only."""
+    import random
+
+    rng = random.Random(9)
+    data = [(2000 + i, t, "en", "a", 1) for i, t in enumerate(family(rng, 90))]
+    monkeypatch.setattr(minhash, "TILE", 6)
+    got = {r.id: r.class_id for r in minhash.classes(corpus.documents(spark, data), bands=40, per_band=1).collect()}
+    assert got == weighted_classes(data) and len(set(got.values())) > 1
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 2**63, 400).astype(np.uint64)
