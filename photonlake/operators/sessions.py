@@ -11,12 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Seconds of the stretches in which the frames of one camera are ordered.
+SPAN = 86_400
+
 
 def mark_sessions(df: DataFrame, keys: list[str], at: str, gap: float, out: str, tie: str = "id") -> DataFrame:
-    """Number the sessions of every key: a step of more than ``gap`` starts a new one."""
-    order = W.partitionBy(*keys).orderBy(at, tie)
-    step = F.col(at) - F.lag(at).over(order)
-    return df.withColumn(out, F.sum(F.when(step > gap, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """Number the sessions of every key: a step of more than ``gap`` starts a new one.
+
+    Two levels keep a key with much of the data off a single task: rows are ordered inside stretches of time, and a table of
+    the stretches alone carries the numbers across them."""
+    width = max(SPAN, 16 * gap)
+    rows = df.withColumn("_span", F.floor(F.col(at) / width))
+    inside = W.partitionBy(*keys, "_span").orderBy(at, tie)
+    rows = rows.withColumn("_new", F.when(F.col(at) - F.lag(at).over(inside) > gap, 1).otherwise(0))
+    spans = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.sum("_new").alias("_breaks"))
+    along = W.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_s")
+    start = F.when(F.col("_first") - F.lag("_last").over(along) > gap, 1).otherwise(0)
+    before = F.sum(F.col("_start") + F.col("_breaks")).over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("_breaks")
+    spans = spans.withColumn("_start", start).withColumn("_base", before).drop("_first", "_last", "_breaks", "_start")
+    same = F.col("_span") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    nth = F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_nth", nth).join(spans, same).withColumn(out, F.col("_base") + F.col("_nth")).select(*df.columns, out)
 
 
 def scenes_and_bursts(photos: DataFrame, keys: list[str], burst_gap: float, scene_gap: float) -> DataFrame:

@@ -45,3 +45,33 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
+
+
+#: Values of columns that older tables lack, where null is not meant.
+DEFAULTS = {
+    "photos": {"face_count": 0, "blockiness": 1.0, "source": 0, "apple_shot": False, "seq": 0, "burst_id": 0, "stack_top": 0, "stack_size": 0, "stacked": False, "dup_id": 0},
+    "photo_groups": {"oldest_at": 0, "faces_overall": 0.0, "memes": 0},
+    "folders": {"newest_at": 0, "scored": 0, "score_sum": 0.0, "memes": 0},
+}
+
+
+def migrate_table(name: str, table: DataFrame) -> DataFrame:
+    """A table of an older version with today's columns: missing ones are added with their default, the others cast."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    defaults = DEFAULTS.get(name, {})
+    have = set(table.columns)
+    wanted = T.StructType.fromDDL(TABLES[name])
+    return table.select(*[(F.col(f.name) if f.name in have else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def migrate(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables of a catalogue in today's schema; vectors that older versions kept with the photos move to their own."""
+    out = dict(tables)
+    photos = out.get("photos")
+    if photos is not None and "clip" in photos.columns:
+        moved = photos.filter("clip is not null").selectExpr("id as photo_id", "clip")
+        known = out.get("photo_clip")
+        out["photo_clip"] = moved if known is None else known.join(moved.select("photo_id"), "photo_id", "left_anti").unionByName(moved)
+    return {name: migrate_table(name, t) for name, t in out.items()}
