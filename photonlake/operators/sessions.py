@@ -15,32 +15,34 @@ from pyspark.sql.window import Window as W
 SPAN = 86_400
 
 
-def mark_sessions(df: DataFrame, keys: list[str], at: str, gap: float, out: str, tie: str = "id") -> DataFrame:
-    """Number the sessions of every key: a step of more than ``gap`` starts a new one.
+def mark_sessions(df: DataFrame, keys: list[str], at: str, gaps: dict[str, float], tie: str = "id") -> DataFrame:
+    """Number the sessions of every key, a column for each gap: a step of more than the gap starts a new one.
 
     Two levels keep a key with much of the data off a single task: rows are ordered inside stretches of time, and a table of
     the stretches alone carries the numbers across them."""
-    width = max(SPAN, 16 * gap)
+    width = max(SPAN, *(16 * gap for gap in gaps.values()))
     rows = df.withColumn("_span", F.floor(F.col(at) / width))
     inside = W.partitionBy(*keys, "_span").orderBy(at, tie)
-    rows = rows.withColumn("_new", F.when(F.col(at) - F.lag(at).over(inside) > gap, 1).otherwise(0))
-    spans = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.sum("_new").alias("_breaks"))
+    step = F.col(at) - F.lag(at).over(inside)
+    spans = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s"), F.col(at).alias("_at"), *[F.when(step > gap, 1).otherwise(0).alias(f"_n_{out}") for out, gap in gaps.items()])
+    spans = spans.groupBy(*[f"_k{i}" for i in range(len(keys))], "_s").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), *[F.sum(f"_n_{out}").alias(f"_n_{out}") for out in gaps])
     along = W.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_s")
-    start = F.when(F.col("_first") - F.lag("_last").over(along) > gap, 1).otherwise(0)
-    before = F.sum(F.col("_start") + F.col("_breaks")).over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("_breaks")
-    spans = spans.withColumn("_start", start).withColumn("_base", before).drop("_first", "_last", "_breaks", "_start")
+    pause = F.col("_first") - F.lag("_last").over(along)
+    spans = spans.withColumns({f"_b_{out}": F.when(pause > gap, 1).otherwise(0) for out, gap in gaps.items()})
+    upto = along.rowsBetween(W.unboundedPreceding, 0)
+    spans = spans.withColumns({f"_b_{out}": F.sum(F.col(f"_b_{out}") + F.col(f"_n_{out}")).over(upto) - F.col(f"_n_{out}") for out in gaps}).drop("_first", "_last", *[f"_n_{out}" for out in gaps])
     same = F.col("_span") == F.col("_s")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    nth = F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("_nth", nth).join(spans, same).withColumn(out, F.col("_base") + F.col("_nth")).select(*df.columns, out)
+    rows = rows.withColumns({f"_n_{out}": F.when(step > gap, 1).otherwise(0) for out, gap in gaps.items()})
+    rows = rows.withColumns({f"_n_{out}": F.sum(f"_n_{out}").over(inside.rowsBetween(W.unboundedPreceding, 0)) for out in gaps})
+    return rows.join(spans, same).select(*df.columns, *[(F.col(f"_b_{out}") + F.col(f"_n_{out}")).alias(out) for out in gaps])
 
 
 def scenes_and_bursts(photos: DataFrame, keys: list[str], burst_gap: float, scene_gap: float) -> DataFrame:
     """Dated photos with scene and run numbers per key; burst_id is the lowest id of a run of two or more, else 0."""
     dated = photos.filter(F.col("taken_at") != 0)
-    marked = mark_sessions(dated, keys, "taken_at", max(scene_gap, burst_gap), "scene")
-    marked = mark_sessions(marked, keys, "taken_at", burst_gap, "run")
+    marked = mark_sessions(dated, keys, "taken_at", {"scene": max(scene_gap, burst_gap), "run": burst_gap})
     of = W.partitionBy(*keys, "run")
     return marked.withColumn("run_size", F.count("*").over(of)).withColumn("burst_id", F.when(F.col("run_size") >= 2, F.min("id").over(of)).otherwise(F.lit(0)))
 
