@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,9 +34,12 @@ def local_session(cores: int = 8, app: str = "photonlake", memory: str = "8g") -
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where unset)."""
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session
+    (tests) gets a temporary one; a cluster must name its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root or root.startswith("<"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='photonlake-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
