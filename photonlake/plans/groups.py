@@ -91,9 +91,17 @@ def group_members(spark: SparkSession, d: str) -> DataFrame:
     return grouping.group_members(members, b, first).select("id", "overall", "burst_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_RUNS}, n AS (SELECT camera_model, scene, run, count(*) AS n, sum(count(*)) OVER (PARTITION BY camera_model, scene) AS total FROM bursts GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY camera_model, scene ORDER BY run) AS k FROM n WHERE total > 8),
+c AS (SELECT camera_model, scene, CAST(NULL AS HUGEINT) AS run, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS filled, CAST(0 AS BIGINT) AS chunk FROM r WHERE k = 1
+  UNION ALL SELECT c.camera_model, c.scene, r.run, r.k, CASE WHEN r.n > 8 THEN c.at + CAST(c.filled > 0 AS BIGINT) WHEN c.filled + r.n > 8 THEN c.at + 1 ELSE c.at END,
+    CASE WHEN r.n > 8 THEN 0 WHEN c.filled + r.n > 8 THEN r.n ELSE c.filled + r.n END, CASE WHEN r.n > 8 THEN -1 WHEN c.filled + r.n > 8 THEN c.at + 1 ELSE c.at END
+  FROM c JOIN r ON r.camera_model = c.camera_model AND r.scene = c.scene AND r.k = c.k + 1)
+SELECT b.id, b.camera_model, CAST(b.scene AS BIGINT) AS scene, CAST(b.run AS BIGINT) AS run, coalesce(c.chunk, 0) AS chunk FROM bursts b LEFT JOIN c ON c.camera_model = b.camera_model AND c.scene = b.scene AND c.run = b.run"""
+)
 def scene_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of at most 8 frames: sequential packing has no SQL form."""
+    """Chunks of at most 8 frames, packed one burst after another."""
     keys = ["camera_make", "camera_model"]
     return sessions.pack_chunks(_bursts(spark, d), keys, 8).select("id", "camera_model", "scene", "run", "chunk")
 

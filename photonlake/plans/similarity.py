@@ -149,14 +149,29 @@ def farthest_point_exemplars(spark: SparkSession, d: str) -> DataFrame:
     return people.exemplars(A.face_rows(spark, d), 8).select("person_id", "id")
 
 
-@query()
+@query(
+    """WITH RECURSIVE f AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (ORDER BY (40.0 + vec_id % 120) * (0.6 + (vec_id % 40) / 100.0) DESC, vec_id) AS k FROM embeddings
+  WHERE vec_id % 5 <> 0 AND 40 + vec_id % 120 >= 60 AND 0.6 + (vec_id % 40) / 100.0 >= 0.7 AND abs((vec_id % 13) / 10.0 - 0.6) < 0.6),
+m AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST([] AS DOUBLE[][]) AS leaders, CAST(0 AS BIGINT) AS cluster
+  UNION ALL SELECT k, id, CASE WHEN best > 0.25 THEN leaders ELSE list_append(leaders, v) END, CASE WHEN best > 0.25 THEN list_position(sims, best) - 1 ELSE len(leaders) END
+  FROM (SELECT f.k, f.id, f.v, m.leaders, list_transform(m.leaders, lambda l: list_inner_product(l, f.v)) AS sims, coalesce(list_max(list_transform(m.leaders, lambda l: list_inner_product(l, f.v))), -2) AS best FROM m JOIN f ON f.k = m.k + 1 AND f.k <= 5000)),
+g AS (SELECT cluster, count(*) AS size, count(DISTINCT id // 2) AS photos, array_to_string(list(id ORDER BY k)[1:12], ',') AS faces FROM m WHERE id IS NOT NULL GROUP BY cluster)
+SELECT cluster, size, photos, faces FROM g WHERE photos >= 2 ORDER BY photos DESC, cluster LIMIT 100"""
+)
 def leader_clustering(spark: SparkSession, d: str) -> DataFrame:
     from photonlake.operators.filters import discover_eligible
 
     return people.discover(discover_eligible(A.face_rows(spark, d)), 5000, 2, 0.25).withColumn("faces", F.array_join(F.transform("faces", lambda x: x.cast("string")), ","))
 
 
-@query()
+_BITS = "bit_count(xor(o.hi, rest[1].hi)) + bit_count(xor(o.lo, rest[1].lo))"
+
+
+@query(
+    f"""WITH RECURSIVE {_HASH}, s AS (SELECT label, id // 1000 AS chunk, list({{id: id, hi: hi, lo: lo}} ORDER BY id * 7 % 20 DESC, id) AS rest, CAST(NULL AS BIGINT[]) AS near FROM h WHERE hi <> 0 OR lo <> 0 GROUP BY 1, 2
+  UNION ALL SELECT label, chunk, list_filter(rest[2:], lambda o: {_BITS} > 22), list_transform(list_filter(rest, lambda o: {_BITS} <= 22), lambda o: o.id) FROM s WHERE len(rest) > 0)
+SELECT label, id, stack_top, stack_size, id <> stack_top AS stacked FROM (SELECT label, near[1] AS stack_top, len(near) AS stack_size, unnest(near) AS id FROM s WHERE len(near) > 1)"""
+)
 def greedy_stacking(spark: SparkSession, d: str) -> DataFrame:
     """Stacks in chunks of at most 1000 frames, as sessions pack them."""
     frames = A.hashed_vectors(spark, d).withColumn("chunk", F.floor(F.col("id") / 1000))
@@ -266,7 +281,17 @@ def iou_match(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(matching.carry_labels(old, new, 0.3), "iou")
 
 
-@query()
+_OVERLAP = "greatest(0, least(rest[1].x2, o.x2) - greatest(rest[1].x1, o.x1) + 1) * greatest(0, least(rest[1].y2, o.y2) - greatest(rest[1].y1, o.y1) + 1)"
+_BOX_AREA = "(({0}.x2 - {0}.x1 + 1) * ({0}.y2 - {0}.y1 + 1))"
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT l_orderkey AS photo_id, l_orderkey * 10 + l_linenumber AS id, min({{q: l_quantity, p: l_partkey, d: l_discount, t: l_tax, s: l_suppkey}}) AS x FROM lineitem GROUP BY 1, 2),
+b AS (SELECT photo_id, id, x.t AS score, x.q / 100 * 1000 AS x1, (x.p % 50) / 100.0 * 1000 AS y1, (x.q / 100 + 0.3) * 1000 AS x2, ((x.p % 50) / 100.0 + 0.2 + x.d) * 1000 AS y2 FROM l),
+s AS (SELECT photo_id, CAST([] AS BIGINT[]) AS kept, list({{id: CAST(id AS BIGINT), x1: x1, y1: y1, x2: x2, y2: y2}} ORDER BY score DESC, id) AS rest FROM b GROUP BY photo_id
+  UNION ALL SELECT photo_id, list_append(kept, rest[1].id), list_filter(rest[2:], lambda o: {_OVERLAP} / ({_BOX_AREA.format('rest[1]')} + {_BOX_AREA.format('o')} - {_OVERLAP}) <= 0.4) FROM s WHERE len(rest) > 0)
+SELECT photo_id, unnest(kept) AS id FROM s WHERE len(rest) = 0"""
+)
 def box_suppression(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d)
     return matching.suppress(b.select("photo_id", "id", *[(F.col(c) * 1000).alias(c) for c in ("x1", "y1", "x2", "y2")], "score")).select("photo_id", "id")

@@ -43,4 +43,4 @@ def test_query_equals_oracle(spark, duck, name):
 def test_every_query_has_sql_or_a_plain_version():
     from tests import test_plain_versions
 
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == set(test_plain_versions.PLAIN)
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) <= set(test_plain_versions.PLAIN)
