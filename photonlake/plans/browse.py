@@ -23,6 +23,11 @@ ORDERS = """(SELECT o_orderkey AS id, '/' || r_name || '/' || n_name || '/' || c
   CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS overall, CAST(o_orderkey % 4 AS INTEGER) AS source, CAST(o_custkey % 4 AS INTEGER) AS face_count
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
+#: Embeddings as frames with the two halves of their perceptual hash.
+HASHES = """h AS (SELECT vec_id AS id, label, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:32], lambda x: CASE WHEN CAST(x AS DOUBLE) > m THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), lambda a, x: a * 2 + x) AS hi,
+  list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[33:64], lambda x: CASE WHEN CAST(x AS DOUBLE) > m THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), lambda a, x: a * 2 + x) AS lo
+  FROM (SELECT *, list_median(CAST(embedding AS DOUBLE[])) AS m FROM embeddings))"""
+
 
 def query(oracle: str | None = None):
     def add(f):

@@ -9,7 +9,7 @@ from photonlake.functions.scores import round_to
 from photonlake.operators import folders, grouping, sessions
 from photonlake.operators.filters import Filter, apply_filter
 from photonlake.plans import adapters as A
-from photonlake.plans.browse import EVENTS, ORDERS
+from photonlake.plans.browse import EVENTS, HASHES, ORDERS
 from photonlake.session import load
 
 QUERIES: dict = {}
@@ -91,22 +91,37 @@ def group_members(spark: SparkSession, d: str) -> DataFrame:
     return grouping.group_members(members, b, first).select("id", "overall", "burst_id")
 
 
-@query(
-    f"""WITH RECURSIVE {_RUNS}, n AS (SELECT camera_model, scene, run, count(*) AS n, sum(count(*)) OVER (PARTITION BY camera_model, scene) AS total FROM bursts GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY camera_model, scene ORDER BY run) AS k FROM n WHERE total > 8),
+def _chunks(limit: int) -> str:
+    """Frames with the chunk of their scene: bursts packed one after another up to the limit."""
+    return f"""{_RUNS}, n AS (SELECT camera_model, scene, run, count(*) AS n, sum(count(*)) OVER (PARTITION BY camera_model, scene) AS total FROM bursts GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY camera_model, scene ORDER BY run) AS k FROM n WHERE total > {limit}),
 c AS (SELECT camera_model, scene, CAST(NULL AS HUGEINT) AS run, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS filled, CAST(0 AS BIGINT) AS chunk FROM r WHERE k = 1
-  UNION ALL SELECT c.camera_model, c.scene, r.run, r.k, CASE WHEN r.n > 8 THEN c.at + CAST(c.filled > 0 AS BIGINT) WHEN c.filled + r.n > 8 THEN c.at + 1 ELSE c.at END,
-    CASE WHEN r.n > 8 THEN 0 WHEN c.filled + r.n > 8 THEN r.n ELSE c.filled + r.n END, CASE WHEN r.n > 8 THEN -1 WHEN c.filled + r.n > 8 THEN c.at + 1 ELSE c.at END
-  FROM c JOIN r ON r.camera_model = c.camera_model AND r.scene = c.scene AND r.k = c.k + 1)
-SELECT b.id, b.camera_model, CAST(b.scene AS BIGINT) AS scene, CAST(b.run AS BIGINT) AS run, coalesce(c.chunk, 0) AS chunk FROM bursts b LEFT JOIN c ON c.camera_model = b.camera_model AND c.scene = b.scene AND c.run = b.run"""
-)
+  UNION ALL SELECT c.camera_model, c.scene, r.run, r.k, CASE WHEN r.n > {limit} THEN c.at + CAST(c.filled > 0 AS BIGINT) WHEN c.filled + r.n > {limit} THEN c.at + 1 ELSE c.at END,
+    CASE WHEN r.n > {limit} THEN 0 WHEN c.filled + r.n > {limit} THEN r.n ELSE c.filled + r.n END, CASE WHEN r.n > {limit} THEN -1 WHEN c.filled + r.n > {limit} THEN c.at + 1 ELSE c.at END
+  FROM c JOIN r ON r.camera_model = c.camera_model AND r.scene = c.scene AND r.k = c.k + 1),
+packed AS (SELECT b.*, coalesce(c.chunk, 0) AS chunk FROM bursts b LEFT JOIN c ON c.camera_model = b.camera_model AND c.scene = b.scene AND c.run = b.run)"""
+
+
+@query(f"WITH RECURSIVE {_chunks(8)} SELECT id, camera_model, CAST(scene AS BIGINT) AS scene, CAST(run AS BIGINT) AS run, chunk FROM packed")
 def scene_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of at most 8 frames, packed one burst after another."""
     keys = ["camera_make", "camera_model"]
     return sessions.pack_chunks(_bursts(spark, d), keys, 8).select("id", "camera_model", "scene", "run", "chunk")
 
 
-@query()
+_NEAR = "bit_count(xor(o.hi, rest[1].hi)) + bit_count(xor(o.lo, rest[1].lo))"
+
+
+@query(
+    f"""WITH RECURSIVE {HASHES}, {_chunks(1000)},
+frames AS (SELECT p.*, h.hi, h.lo FROM packed p JOIN h ON h.id = p.id WHERE h.hi <> 0 OR h.lo <> 0),
+s AS (SELECT camera_model, scene, chunk, list({{id: id, hi: hi, lo: lo}} ORDER BY overall DESC, id) AS rest, CAST(NULL AS BIGINT[]) AS near FROM frames WHERE chunk >= 0 GROUP BY 1, 2, 3
+  UNION ALL SELECT camera_model, scene, chunk, list_filter(rest[2:], lambda o: {_NEAR} > 24), list_transform(list_filter(rest, lambda o: {_NEAR} <= 24), lambda o: o.id) FROM s WHERE len(rest) > 0),
+stacks AS (SELECT near[1] AS stack_top, len(near) AS stack_size, unnest(near) AS id FROM s WHERE len(near) > 1),
+sets AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY hi, lo) > 1 THEN min(id) OVER (PARTITION BY hi, lo) ELSE 0 END AS dup_id FROM frames)
+SELECT p.id, p.burst_id, coalesce(stack_top, 0) AS stack_top, coalesce(stack_size, 0) AS stack_size, coalesce(p.id <> stack_top, false) AS stacked, coalesce(dup_id, 0) AS dup_id
+FROM packed p LEFT JOIN stacks ON stacks.id = p.id LEFT JOIN sets ON sets.id = p.id"""
+)
 def regroup(spark: SparkSession, d: str) -> DataFrame:
     """Bursts, stacks and duplicate sets of the whole catalogue, as a changed photo row each."""
     p = A.event_groups(spark, d).join(A.hashed_vectors(spark, d).select("id", "phash"), "id", "left").withColumn("phash", F.coalesce("phash", F.lit(0)))

@@ -10,7 +10,7 @@ from photonlake.functions.scores import round_to
 from photonlake.functions.vectors import quantise
 from photonlake.operators import grouping, maintenance, matching, people, scoring, training, vector_search
 from photonlake.plans import adapters as A
-from photonlake.plans.browse import EVENTS
+from photonlake.plans.browse import EVENTS, HASHES
 from photonlake.session import load
 
 QUERIES: dict = {}
@@ -86,12 +86,7 @@ def quantise_int8(spark: SparkSession, d: str) -> DataFrame:
     return q.select("id", F.array_join(F.transform("z.q", lambda x: x.cast("string")), ",").alias("q"), round_to(F.col("z.scale"), 9).alias("scale"))
 
 
-_HASH = """h AS (SELECT vec_id AS id, label, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:32], lambda x: CASE WHEN CAST(x AS DOUBLE) > m THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), lambda a, x: a * 2 + x) AS hi,
-  list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[33:64], lambda x: CASE WHEN CAST(x AS DOUBLE) > m THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), lambda a, x: a * 2 + x) AS lo
-  FROM (SELECT *, list_median(CAST(embedding AS DOUBLE[])) AS m FROM embeddings))"""
-
-
-@query(f"WITH {_HASH} SELECT id, hi, lo FROM h")
+@query(f"WITH {HASHES} SELECT id, hi, lo FROM h")
 def phash_bits(spark: SparkSession, d: str) -> DataFrame:
     h = A.hashed_vectors(spark, d)
     low = F.lit(0xFFFFFFFF)
@@ -105,7 +100,7 @@ def _flip(half: str) -> str:
 
 
 @query(
-    f"""WITH {_HASH}, f AS (SELECT id, label, hi, lo FROM h UNION ALL SELECT id + 1000000, label, {_flip('hi')}, {_flip('lo')} FROM h)
+    f"""WITH {HASHES}, f AS (SELECT id, label, hi, lo FROM h UNION ALL SELECT id + 1000000, label, {_flip('hi')}, {_flip('lo')} FROM h)
 SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS bits FROM f a JOIN f b ON a.label = b.label AND a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 10"""
 )
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +163,7 @@ _BITS = "bit_count(xor(o.hi, rest[1].hi)) + bit_count(xor(o.lo, rest[1].lo))"
 
 
 @query(
-    f"""WITH RECURSIVE {_HASH}, s AS (SELECT label, id // 1000 AS chunk, list({{id: id, hi: hi, lo: lo}} ORDER BY id * 7 % 20 DESC, id) AS rest, CAST(NULL AS BIGINT[]) AS near FROM h WHERE hi <> 0 OR lo <> 0 GROUP BY 1, 2
+    f"""WITH RECURSIVE {HASHES}, s AS (SELECT label, id // 1000 AS chunk, list({{id: id, hi: hi, lo: lo}} ORDER BY id * 7 % 20 DESC, id) AS rest, CAST(NULL AS BIGINT[]) AS near FROM h WHERE hi <> 0 OR lo <> 0 GROUP BY 1, 2
   UNION ALL SELECT label, chunk, list_filter(rest[2:], lambda o: {_BITS} > 22), list_transform(list_filter(rest, lambda o: {_BITS} <= 22), lambda o: o.id) FROM s WHERE len(rest) > 0)
 SELECT label, id, stack_top, stack_size, id <> stack_top AS stacked FROM (SELECT label, near[1] AS stack_top, len(near) AS stack_size, unnest(near) AS id FROM s WHERE len(near) > 1)"""
 )
