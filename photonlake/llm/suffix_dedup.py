@@ -9,7 +9,8 @@ collection of bounded size after another, and holds only that one.
 
 Running that over whole documents would take a round per byte of the longest one on a single collection. So the
 collection is dealt out first, without losing a string: every window of ``length`` bytes names the ``GRAM``-byte gram in it
-with the least hash (leftmost on ties), so equal windows name equal grams. Grams found once hold no repeat. The
+with the least hash (leftmost on ties), so equal windows name equal grams. Marks of the grams are dealt out by gram
+once and streamed in order: grams found once hold no repeat. The
 stretch of windows around a gram that equals an earlier stretch is removed whole; of the different
 stretches around a gram, the first of each are cut into spans of ``SPAN`` window starts, dealt out by the bytes
 that all windows of a span share, and these strings are the collections above. Grams and stretches are compared by
@@ -34,6 +35,8 @@ from photonlake.llm.common import BASE, BASE_INVERSE, materialize, mix64, powers
 LENGTH, GRAM, SPAN = 100, 32, 16
 #: A stretch is (gram start, windows before it) in one number, so that rows in flight stay small.
 ROOM = 10
+#: Strings that are laid out at once: places take eight times their bytes.
+SLAB = 4096
 LAST_ID = (1 << 63) - 1
 
 
@@ -113,9 +116,10 @@ def later_windows(key, lead, strings, docs, at, length: int, span: int):
     size = np.array([len(s) for s in strings])
     width = span - 1 + length
     columns = np.zeros((len(strings), width), dtype=np.uint16, order="F")
-    flat = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint16) + 1
-    row = np.repeat(np.arange(len(strings)), size)
-    columns[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + lead[row]] = flat
+    for k in range(0, len(strings), SLAB):
+        flat, n = np.frombuffer(b"".join(strings[k : k + SLAB]), dtype=np.uint8), size[k : k + SLAB]
+        row = np.repeat(np.arange(k, k + len(n)), n)
+        columns[row, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + lead[row]] = flat.astype(np.uint16) + 1
     groups = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])).astype(np.int64)
     who, where = [], []
     for j, order, run in equal_windows(groups, columns, length, span):
@@ -130,6 +134,56 @@ def later_windows(key, lead, strings, docs, at, length: int, span: int):
     return np.concatenate(who), np.concatenate(where)
 
 
+def repeated_marks(h, c, ids, subs, place):
+    """(rows to keep, rows that are later for certain) of the marks of a few texts: of equal stretches the first is kept,
+    others of other documents or places are later, and the rest are the first one's own."""
+    order = np.argsort(h ^ mix64(c), kind="stable")
+    same = np.append(False, (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1]))
+    some = order[same | np.append(same[1:], False)]
+    some = some[np.lexsort((place[some], subs[some], ids[some], c[some], h[some]))]
+    keep = np.ones(len(h), dtype=bool)
+    keep[some] = False
+    if not len(some):
+        return np.flatnonzero(keep), some
+    head = np.append(True, (h[some][1:] != h[some][:-1]) | (c[some][1:] != c[some][:-1]))
+    keep[some[head]] = True
+    of = some[np.maximum.accumulate(np.where(head, np.arange(len(some)), 0))]
+    return np.flatnonzero(keep), some[(ids[some] != ids[of]) | (subs[some] != subs[of]) | (place[some] != place[of])]
+
+
+class Marks:
+    """Marks (h, c, id, sub, place) sorted by all five, batch by batch; only the first of the current stretch is held.
+
+    ``take`` gives the rows (h, id, sub, place, open): open are the first of each of several stretches around one gram,
+    the others are stretches that also start earlier."""
+
+    def __init__(self):
+        self.held = np.zeros((5, 0), dtype=np.int64)
+        self.told = False  # the held one has been given as open
+
+    def take(self, rows: np.ndarray):
+        carried = self.held.shape[1]
+        rows = np.concatenate([self.held, rows], axis=1)
+        n = rows.shape[1]
+        if not n:
+            return rows[[0, 2, 3, 4]], np.zeros(0, dtype=bool)
+        head = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+        of = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        later = ~head & (rows[2:] != rows[2:, of]).any(axis=0)
+        first = np.flatnonzero(head)
+        beside = rows[0, first][1:] == rows[0, first][:-1]
+        several = np.append(False, beside) | np.append(beside, False)
+        told = bool(several[-1])
+        if carried:
+            told |= self.told and len(first) == 1
+            several[0] &= not self.told
+        self.held, self.told = rows[:, first[-1:]], told
+        open_ = np.zeros(n, dtype=bool)
+        open_[first[several]] = True
+        pick = later | open_
+        return rows[[0, 2, 3, 4]][:, pick], open_[pick]
+
+
 def spans_of(docs: np.ndarray, starts: np.ndarray, length: int):
     """Windows as (document, from, to) with runs of successive starts joined."""
     order = np.lexsort((starts, docs))
@@ -162,7 +216,7 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, span: int = SPAN) -> DataFrame:
-    """texts (id, sub, text) -> (id, sub, lo, hi): bytes covered by windows that also start earlier; spans may overlap."""
+    """texts (id, sub, text) -> (id, sub, spans): bytes (lo, hi) covered by windows that also start earlier; they may overlap."""
 
     def find(batches):
         for batch in batches:
@@ -170,26 +224,38 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, spa
                 ids, subs = part.column(0).to_numpy(), part.column(1).to_numpy()
                 h, c, row, at, lo, hi = anchors(*text_buffers(part.column(2)), length, gram)
                 place = at << 2 * ROOM | (at - lo) << ROOM | (at - hi)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), ids[row], subs[row], place)], ["h", "c", "id", "sub", "place"])
+                keep, later = repeated_marks(h, c, ids[row], subs[row], place)
+                # What is later for certain needs no meeting: it is dealt out by a value of its own, so that the copies
+                # of a frequent stretch reach its task as one mark for each run of texts.
+                h = np.append(h[keep], mix64((ids[row[later]] ^ subs[row[later]] ^ place[later]).astype(np.uint64)))
+                place = np.append(place[keep], -1 - place[later])
+                of = np.append(keep, later)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c[of].view(np.int64), ids[row[of]], subs[row[of]], place)], ["h", "c", "id", "sub", "place"])
+
+    def meet(batches):
+        marks = Marks()
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy() for k in range(5)])
+            known = rows[4] < 0
+            (h, ids, subs, place), open_ = marks.take(rows[:, ~known])
+            sure = rows[:, known]
+            ids, subs, place = np.append(ids, sure[2]), np.append(subs, sure[3]), np.append(place, -1 - sure[4])
+            h, whole = np.append(h, sure[0]), np.append(~open_, np.ones(sure.shape[1], dtype=bool))
+            yield pa.RecordBatch.from_arrays([pa.array(h, mask=whole), pa.array(ids), pa.array(subs), pa.array(place)], ["h", "id", "sub", "place"])
 
     part = (1 << ROOM) - 1
     at = F.shiftright("place", 2 * ROOM)
     low, high = at - F.shiftright("place", ROOM).bitwiseAND(part), at - F.col("place").bitwiseAND(part)
     marks = texts.mapInArrow(find, "h long, c long, id long, sub long, place long")
-    often = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    shared = materialize(marks.join(often, "h"), "suffix-grams")
-    firsts = shared.groupBy("h", "c").agg(F.min(F.struct("id", "sub", "place")).alias("f"), F.count("*").alias("n"))
-    firsts = materialize(firsts.select("h", "c", "f.*", "n"), "suffix-firsts")
-    copied = firsts.filter("n > 1").select("h", "c", F.col("id").alias("id0"), F.col("sub").alias("sub0"), F.col("place").alias("place0"))
-    later = shared.join(copied, ["h", "c"]).filter("id <> id0 or sub <> sub0 or place <> place0")
-    whole = materialize(later.select("id", "sub", low.cast("int").alias("lo"), (high + length).cast("int").alias("hi")), "suffix-whole")
-    release(shared)
-    several = firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
-    open_ = firsts.join(several, "h").groupBy("id", "sub").agg(F.collect_list(F.struct("h", at.alias("at"), low.alias("lo"), high.alias("hi"))).alias("marks"))
+    marks = marks.repartition("h").sortWithinPartitions("h", "c", "id", "sub", "place")
+    # (h, id, sub, place): h is null where the whole stretch also starts earlier.
+    found = materialize(marks.mapInArrow(meet, "h long, id long, sub long, place long"), "suffix-marks")
+    whole = found.filter("h is null").select("id", "sub", low.cast("int").alias("lo"), (high + length).cast("int").alias("hi"))
+    open_ = found.filter("h is not null").groupBy("id", "sub").agg(F.collect_list(F.struct("h", at.alias("at"), low.alias("lo"), high.alias("hi"))).alias("marks"))
 
     def cut(batches):
         for batch in batches:
-            for part in text_slices(batch, 2):
+            for part in text_slices(batch, 2, 1_000_000):
                 raw, offsets = text_buffers(part.column(2))
                 lists = part.column(3)
                 marks_ = lists.flatten()
@@ -262,14 +328,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, spa
             yield from settle(pa.concat_tables(held).combine_chunks())
 
     dealt = strings.repartition("key").sortWithinPartitions("key", "lead", "string", "id", "sub", "at")
-    spans = materialize(whole.unionByName(dealt.mapInArrow(build, SPANS)), "suffix-spans")
-    release(firsts, whole)
+    every = whole.unionByName(dealt.mapInArrow(build, SPANS)).groupBy("id", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = materialize(every, "suffix-spans")
+    release(found)
     return spans
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs' rows as (id, n_bytes, n_removed, spans, kept): maximal removed runs and the bytes that stay."""
-    lists = spans.groupBy("id", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = identified(docs, id_col, text_col)
 
     def run(batches):
@@ -294,7 +360,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str)
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.join(lists, ["id", "sub"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.join(spans, ["id", "sub"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, span: int = SPAN) -> DataFrame:

@@ -712,6 +712,69 @@ def test_column_wise_runs_are_equal_windows():
         assert all(len(w) == 1 for w in windows.values()) and len({next(iter(w)) for w in windows.values()}) == len(windows)
 
 
+def test_marks_meet_in_batches_of_any_size():
+    """Equal stretches but the first are later, the firsts of several stretches around a gram are open: however the
+    sorted marks are cut into batches, and with those of a few texts thinned out beforehand."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, [[9], [3], [6], [2], [4]], (5, 400))
+    firsts, plain = {}, Counter()
+    for h, c, *at in sorted(map(tuple, rows.T.tolist())):
+        if firsts.setdefault((h, c), at) != at:
+            plain[h, *at, False] += 1
+    for (h, c), at in firsts.items():
+        if sum(k[0] == h for k in firsts) > 1:
+            plain[h, *at, True] += 1
+    found = []
+    for thin in (False, True):
+        got, kept = Counter(), rows
+        if thin:
+            parts = []
+            for k in range(0, 400, 50):
+                part = rows[:, k : k + 50]
+                keep, later = suffix_dedup.repeated_marks(part[0].astype(np.uint64), part[1].astype(np.uint64), *part[2:])
+                parts.append(part[:, keep])
+                got.update((h, *at, False) for h, c, *at in part[:, later].T.tolist())
+            kept = np.concatenate(parts, axis=1)
+            assert kept.shape[1] < 400
+        kept = kept[:, np.lexsort(kept[::-1])]
+        marks, at = suffix_dedup.Marks(), 0
+        while at < kept.shape[1]:
+            n = int(rng.integers(0, 4))
+            out, open_ = marks.take(kept[:, at : at + n])
+            got.update((*r, bool(o)) for r, o in zip(out.T.tolist(), open_, strict=True))
+            at += n
+        found.append(got)
+    # Thinning drops what a document says of itself twice, and nothing else.
+    assert found[0] == plain
+    assert set(found[1]) == set(plain) and all(found[1][k] == plain[k] for k in plain if k[-1])
+
+
+def test_suffix_collections_are_laid_out_in_slabs():
+    """A collection of 30,000 strings holds its columns (7 MB), not places for each of their bytes (28 MB an array)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    strings = [rng.integers(97, 123, 115).astype(np.uint8).tobytes() for _ in range(15_000)] * 2
+    key = np.arange(30_000) // 2
+    strings = [strings[k // 2 + 15_000 * (k % 2)] for k in range(30_000)]
+    zero = np.zeros(30_000, dtype=np.int64)
+    tracemalloc.start()
+    who, where = suffix_dedup.later_windows(key, zero, strings, np.arange(30_000), zero, 100, 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(who) == 15_000 * 16 and set(who % 2) == {1} and set(where) == set(range(16))
+    assert most < 60e6
+
+
+def test_suffix_marks_are_made_once(spark, monkeypatch):
+    """Two tables are written on the way: each file of one costs processes on a local store."""
+    names, write = [], suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: names.append(name) or write(df, name))
+    docs = corpus.documents(spark, [(i, "one and the same text " * 20, "en", "a", 1) for i in range(3)])
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_substrings(docs).collect()}
+    assert got[1] == got[2] == 440 and names == ["suffix-marks", "suffix-spans"]
+
+
 # vectors
 
 
